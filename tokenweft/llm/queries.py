@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenweft.llm import packing, replay, store
+from tokenweft.llm import classifier, packing, quality_rules, replay, store, toxicity
 from tokenweft.llm._common import read
 
 
@@ -16,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -24,12 +32,16 @@ def op8_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stored_digest(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op8_store, op10_merge_replay)}
+    return {f.__name__: f for f in (op1_quality, op6_rules, op7_packing, op8_store, op9_toxicity, op10_merge_replay)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -61,9 +62,22 @@ def stored(df: DataFrame, path: str | None = None, compression: str = "zstd") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _uncollected(f):
+    """f with the cycle collector off: it makes millions of small objects and no cycles, and is read by reference counts alone."""
+
+    def run(batches):
+        gc.disable()
+        try:
+            yield from f(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     attach(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_uncollected(f), schema)
 
 
 def runs(lengths, limit: int) -> Iterator[tuple[int, int]]:
@@ -85,7 +99,7 @@ def text_runs(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_00
         yield batch.slice(a, b - a)
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 200_000, most: int = 4096) -> tuple[list, int]:
+def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 10_000, most: int = 4096) -> tuple[list, int]:
     """Boundaries that deal the values of an integer column into ordered buckets of similar size.
 
     Returns (bounds, rows): bounds has at most `most` literals, so what the driver holds does not grow with the rows.

@@ -74,21 +74,32 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray
 
 
 def sigmoid_fit(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a * margin + b))) by Newton steps on smoothed targets."""
+    """(a, b) of 1 / (1 + exp(-(a * margin + b))): damped Newton steps on smoothed targets, margins scaled to unit spread first."""
     pos = int((y > 0).sum())
     neg = len(y) - pos
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    x = np.stack([margins, np.ones_like(margins)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -35, 35)))
-        grad = x @ (p - target) + 1e-3 * np.array([a, b])
-        hess = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-7:
+    middle, spread = float(margins.mean()), float(margins.std()) or 1.0
+    x = np.stack([(margins - middle) / spread, np.ones_like(margins)])
+
+    def loss(v: np.ndarray) -> float:
+        z = v @ x
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5e-3 * (v @ v))
+
+    v = np.array([1.0, 0.0])
+    now = loss(v)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(v @ x, -35, 35)))
+        grad = x @ (p - target) + 1e-3 * v
+        move = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), grad)
+        scale = 1.0
+        while scale > 1e-6 and loss(v - scale * move) > now:
+            scale /= 2
+        v = v - scale * move
+        before, now = now, loss(v)
+        if before - now < 1e-9:
             break
-    return float(a), float(b)
+    a = float(v[0] / spread)
+    return a, float(v[1] - a * middle)
 
 
 @dataclass

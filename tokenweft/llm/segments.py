@@ -62,10 +62,14 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.table = self.tokenizer.model, byte_chars()
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.space = regex.compile(PATTERN), self.table[32]
+        self.codes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.cache = Cache(self._segment, most)
 
     def _segment(self, segment: str) -> bytes:
+        word = segment[1:] if segment[:1] == " " else segment
+        if word.isascii() and word.isalpha():
+            return b"".join([self.codes[t.id] for t in self.model.tokenize(word if word is segment else self.space + word)])
         if _WORD.match(segment):
             pieces = [segment]
         elif _LATIN.match(segment):
@@ -73,10 +77,8 @@ class LibraryEncoder:
             if len(pieces) > 1:  # a word and its punctuation: both are met again in other company
                 return b"".join(map(self.cache.__getitem__, pieces))
         else:  # rarer characters: the library's own pre-tokeniser decides
-            ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        ids = [t.id for p in pieces for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return b"".join([self.codes[i] for i in self.tokenizer.encode(segment, add_special_tokens=False).ids])
+        return b"".join([self.codes[t.id] for p in pieces for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))])
 
     def encode(self, text: str | None) -> bytes:
         if not text:

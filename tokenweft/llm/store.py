@@ -30,32 +30,32 @@ from tokenweft.llm.segments import library_encoder
 
 WINDOW = 8
 DIGEST = 16
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER = np.uint32(0x9E3779B1)
 
 
-def cut_points(ids: np.ndarray, average: int, longest: int) -> list[int]:
-    """Ends of the chunks: after an id where the hash of the last WINDOW ids has log2(average) zero bits, or after `longest` ids."""
+def cut_points(ids: np.ndarray, starts: np.ndarray, average: int, longest: int) -> np.ndarray:
+    """Ends of the chunks of streams that lie end to end and begin at `starts`, every stream's own end included.
+
+    A chunk ends after an id where the hash of the last WINDOW ids of its stream has log2(average) zero bits, and
+    after `longest` ids.
+    """
     n = len(ids)
-    if not n:
-        return []
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER
-    mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n, np.uint64)
-    for back in range(min(WINDOW, n)):
-        rolled[back:] = rolled[back:] + (mixed[: n - back] << np.uint64(back * 5))
+    mixed = ids * _MULTIPLIER
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA6B)
+    rolled = mixed.copy()
+    for back in range(1, min(WINDOW, n)):
+        rolled[back:] += mixed[: n - back] << np.uint32(3 * back)
     rolled *= _MULTIPLIER
-    ends = (np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(average - 1) == 0) + 1).tolist()
-    if not ends or ends[-1] != n:
-        ends.append(n)
-    out, last = [], 0
-    for e in ends:
-        while e - last > longest:
-            last += longest
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
-    return out
+    ends = np.flatnonzero((rolled >> np.uint32(12)) & np.uint32(average - 1) == 0) + 1
+    stream = np.searchsorted(starts, ends - 1, "right") - 1
+    ends = ends[ends - starts[stream] >= WINDOW]  # the window must lie in the stream
+    ends = np.union1d(ends, np.append(starts[1:], n))
+    sizes = np.diff(ends, prepend=0)
+    if (sizes > longest).any():
+        more = [np.arange(e - s + longest, e, longest) for e, s in zip(ends[sizes > longest].tolist(), sizes[sizes > longest].tolist(), strict=True)]
+        ends = np.union1d(ends, np.concatenate(more))
+    return ends
 
 
 def digest(data: bytes) -> bytes:
@@ -70,11 +70,6 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def pack(ids: np.ndarray) -> tuple[int, bytes]:
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return width, ids.astype(f"<u{width}").tobytes()
-
-
 def unpack(width: int, payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{width}").astype("<u4")
 
@@ -85,27 +80,32 @@ _PARTS_SQL = "kind int, route long, doc_id long, digest binary, width int, n_ids
 
 def _parts(path: str, end_id: int, average: int, longest: int):
     """kind 0: a recipe (digest: Merkle root, payload: chunk digests and lengths); kind 1: a chunk not seen before in this task."""
-    end = np.array([end_id], "<u4")
+    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         encoder, seen = library_encoder(path), set()
         for whole in batches:
             for batch in text_runs(whole):
+                streams = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
+                sizes = np.array([len(s) // 4 for s in streams], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                data = b"".join(streams)
+                ids = np.frombuffer(data, "<u4")
+                ends = cut_points(ids, starts, average, longest)
+                lengths = np.diff(ends, prepend=0)
+                digests = [digest(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                small = ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else b""
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = np.concatenate([np.frombuffer(encoder.encode(text), "<u4"), end])
-                    digests, lengths, last = [], [], 0
-                    for e in cut_points(ids, average, longest):
-                        d = digest(ids[last:e].tobytes())
-                        digests.append(d)
-                        lengths.append(e - last)
-                        if d not in seen:
-                            seen.add(d)
-                            width, payload = pack(ids[last:e])
-                            rows.append((1, int.from_bytes(d[:8], "little", signed=True), None, d, width, e - last, payload))
-                        last = e
-                    root = merkle(digests)
-                    rows.append((0, int.from_bytes(root[:8], "little", signed=True), doc_id, root, 0, len(ids), b"".join(digests) + np.array(lengths, "<u4").tobytes()))
+                for d, e, n in zip(digests, ends.tolist(), lengths.tolist(), strict=True):
+                    if d not in seen:
+                        seen.add(d)
+                        payload = small[2 * (e - n) : 2 * e] if small else data[4 * (e - n) : 4 * e]
+                        rows.append((1, int.from_bytes(d[:8], "little", signed=True), None, d, 2 if small else 4, n, payload))
+                links, last = lengths.astype("<u4"), 0
+                for doc_id, to, n in zip(batch.column("doc_id").to_pylist(), np.searchsorted(ends, starts + sizes, "right").tolist(), sizes.tolist(), strict=True):
+                    own = digests[last:to]
+                    rows.append((0, doc_id or 0, doc_id, merkle(own), 0, n, b"".join(own) + links[last:to].tobytes()))
+                    last = to
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
 
     return run

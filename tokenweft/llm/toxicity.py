@@ -1,7 +1,8 @@
 """Operator 9: a convolutional text classifier for toxicity, trained in numpy.
 
-A word (small letters, outer punctuation cut) has the sum of two hashed embeddings, so that a clean word shares
-all of a toxic one's vector only by two collisions at once. Filters of several widths run over the words; each
+A word (small letters, outer punctuation cut) has the sum of four hashed embeddings: of the whole word and of its
+first four, six and eight bytes, so that inflected forms share most of their vector, and a clean word shares all of
+a toxic one's only by four collisions at once. Filters of several widths run over the words; each
 text keeps every filter's maximum, a rectifier and a logistic layer follow. The first coordinate of an embedding
 starts at the log-odds of its bucket, the rest at random. Training is minibatch descent, where the maximum sends
 the gradient to one window for each text and filter. A sigmoid fitted on a fifth of the sample turns the output
@@ -29,7 +30,7 @@ from tokenweft.llm._common import crc_mod, mapped, text_runs
 from tokenweft.llm.classifier import FOLDS, HELD_OUT, sample_ids, sigmoid_fit
 from tokenweft.llm.words import words
 
-BITS, DIM, WIDTHS, FILTERS = 16, 12, (1, 2, 3), 12
+BITS, DIM, WIDTHS, FILTERS, PARTS = 16, 12, (1, 2, 3), 12, 4
 MAX_ROWS = 8_000
 THRESHOLD = 0.5
 MAX_LANGUAGES = 256
@@ -38,31 +39,34 @@ OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Buckets(dict):
-    """word -> its two embedding rows, as one number; emptied between blocks once it holds `most` words."""
+    """word -> its PARTS embedding rows, packed in one number; emptied between blocks once it holds `most` words."""
 
     def __init__(self, bits: int, most: int = 500_000):
         super().__init__()
         self.bits, self.most = bits, most
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word.strip(OUTER).lower())
-        value = self[word] = (h & ((1 << self.bits) - 1)) | (((h >> 32) & ((1 << self.bits) - 1)) << 32)
+        core = word.strip(OUTER).lower()
+        value = 0
+        for k, part in enumerate((core, core[:4], core[:6], core[:8])):
+            value |= (xxhash.xxh64_intdigest(part, k) >> (64 - self.bits)) << (self.bits * k)
+        self[word] = value
         return value
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Two rows for each word of all texts, and the texts' numbers of words."""
+        """(PARTS, words) rows for the words of all texts, and the texts' numbers of words."""
         if len(self) > self.most:
             self.clear()
         found = [words(t) for t in texts]
         counts = np.array([len(w) for w in found], np.int64)
-        packed = np.fromiter((self[w] for ws in found for w in ws), np.int64, int(counts.sum()))
-        return np.stack([packed & 0xFFFFFFFF, (packed >> 32) + (1 << self.bits)]), counts
+        packed = np.fromiter(map(self.__getitem__, (w for ws in found for w in ws)), np.uint64, int(counts.sum()))
+        return np.stack([((packed >> np.uint64(self.bits * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64) + (k << self.bits) for k in range(PARTS)]), counts
 
 
 @dataclass
 class Model:
     bits: int
-    embedding: np.ndarray  # (2 * 2**bits, dim)
+    embedding: np.ndarray  # (PARTS * 2**bits, dim)
     filters: dict[int, np.ndarray]  # width -> (width * dim, number)
     shift: np.ndarray
     out: np.ndarray
@@ -74,7 +78,7 @@ class Model:
     @classmethod
     def constant(cls, share: float, bits: int) -> Model:
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return cls(bits, np.zeros((2 << bits, 1), np.float32), {1: np.zeros((1, 1), np.float32)}, np.zeros(1, np.float32), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return cls(bits, np.zeros((PARTS << bits, 1), np.float32), {1: np.zeros((1, 1), np.float32)}, np.zeros(1, np.float32), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
 
     def pooled(self, rows: np.ndarray, counts: np.ndarray, places: bool = False):
         """Maximum of every filter in every text (-inf without words), and the window it is at."""
@@ -83,7 +87,7 @@ class Model:
         total, n = int((counts + pad).sum()), len(counts)
         vectors = np.zeros((total + pad, self.embedding.shape[1]), np.float32)
         at = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-        vectors[at] = self.embedding[rows[0]] + self.embedding[rows[1]]
+        vectors[at] = sum(self.embedding[r] for r in rows)
         best, where = [], []
         some = np.flatnonzero(counts)
         edges = np.empty(2 * len(some), np.int64)
@@ -118,8 +122,8 @@ def log_odds(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     return np.where(seen.sum(0) > 1, np.clip(odds, -3, 3), 0.0)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits: int = BITS, epochs: int = 6, batch: int = 32, seed: int = 5) -> Model:
-    """rows: (2, words) embedding rows of each text; y: 0 or 1."""
+def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits: int = BITS, epochs: int = 8, batch: int = 32, seed: int = 5) -> Model:
+    """rows: (PARTS, words) embedding rows of each text; y: 0 or 1."""
     if not len(y) or y.min() == y.max():
         return Model.constant(float(y.mean()) if len(y) else 0.5, bits)
     rng = np.random.default_rng(seed)
@@ -127,8 +131,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits:
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)
     learn, check = np.flatnonzero(~apart), np.flatnonzero(apart) if apart.any() else np.arange(len(y))
-    embedding = rng.normal(0, 0.05, (2 << bits, DIM)).astype(np.float32)
-    embedding[:, 0] = 0.25 * log_odds([rows[i] for i in learn], y[learn], 2 << bits)
+    embedding = rng.normal(0, 0.05, (PARTS << bits, DIM)).astype(np.float32)
+    embedding[:, 0] = 0.25 * log_odds([rows[i] for i in learn], y[learn], PARTS << bits)
     filters = {w: rng.normal(0, 0.3, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
     for f in filters.values():
         f[0] = np.abs(f[0]) + 0.5  # begin by looking at the log-odds
@@ -171,7 +175,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits:
                 change = np.zeros_like(kernel)
                 for j in range(width):
                     part = slice(j * DIM, (j + 1) * DIM)
-                    np.add.at(change.T, f, np.pad(value[:, None] * vectors[places + j], ((0, 0), (j * DIM, (width - 1 - j) * DIM))))
+                    change[part] = vectors[places + j].T @ (value[:, None] * (f[:, None] == np.arange(FILTERS)))
                     np.add.at(words_grad, places + j, value[:, None] * kernel[part].T[f])
                 step(width, kernel, change, 0.05)
             step("out", model.out, out_grad, 0.05)
@@ -179,7 +183,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits:
             step("bias", bias, np.array([d.sum()], np.float32), 0.05)
             touched = words_grad[at]
             live = np.flatnonzero(np.abs(touched).sum(1))
-            for h in (0, 1):
+            for h in range(PARTS):
                 ids_h, back = np.unique(some[h][live], return_inverse=True)
                 grad = np.zeros((len(ids_h), DIM), np.float32)
                 np.add.at(grad, back, touched[live])
@@ -215,6 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BI
     sample = F.broadcast(sample_ids(labels, label, max_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
+    names = [f"part{k}" for k in range(PARTS)]
+
     def run(batches):
         buckets = Buckets(bits)
         for whole in batches:
@@ -222,14 +228,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BI
                 found, counts = buckets.of(batch.column("text").to_pylist())
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(f, pa.int32())) for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), *lists], names=["doc_id", "y", "lang", "first", "second"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), *lists], names=["doc_id", "y", "lang", *names])
 
-    found = mapped(rows.join(sample, "doc_id").select("doc_id", "y", "lang", "text"), run, "doc_id long, y int, lang string, first array<int>, second array<int>").toArrow()  # at most max_rows ids
+    found = mapped(rows.join(sample, "doc_id").select("doc_id", "y", "lang", "text"), run, "doc_id long, y int, lang string, " + ", ".join(f"{x} array<int>" for x in names)).toArrow()  # at most max_rows ids
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     order = order[np.random.default_rng(3).permutation(len(order))]
-    first, second = (found[c].combine_chunks() for c in ("first", "second"))
-    ends = np.concatenate([[0], np.cumsum(first.value_lengths().to_numpy())]) if len(first) else np.zeros(1, int)
-    flat = np.stack([first.flatten().to_numpy(), second.flatten().to_numpy()]) if len(first) else np.zeros((2, 0), int)
+    parts = [found[c].combine_chunks() for c in names]
+    ends = np.concatenate([[0], np.cumsum(parts[0].value_lengths().to_numpy())]) if len(parts[0]) else np.zeros(1, int)
+    flat = np.stack([p.flatten().to_numpy() for p in parts]) if len(parts[0]) else np.zeros((PARTS, 0), int)
     langs = found["lang"].to_pylist()
     return train([flat[:, ends[i] : ends[i + 1]] for i in order], found["y"].to_numpy()[order].astype(int), [langs[i] for i in order], bits)
 

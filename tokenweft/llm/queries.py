@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenweft.llm import classifier, near_join, packing, quality_rules, replay, store, toxicity
+from tokenweft.llm import classifier, language_model, near_join, packing, quality_rules, replay, store, toxicity
 from tokenweft.llm._common import read
 
 
@@ -20,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_near_join, op6_rules, op7_packing, op8_store, op9_toxicity, op10_merge_replay)}
+    return {f.__name__: f for f in (op1_quality, op2_language_model, op3_near_join, op6_rules, op7_packing, op8_store, op9_toxicity, op10_merge_replay)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import json
 import os
 import tempfile
 import uuid
@@ -114,22 +115,14 @@ def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 10_000, most
 
 
 def bucket_of(key: Column, bounds: list) -> Column:
-    """0 for values (and nulls) up to the first bound, one more after each further bound."""
+    """0 for values (and nulls) up to the first bound, one more after each further bound; two steps over a folded literal."""
     if not bounds:
         return F.lit(0)
-    tree: Column | None = None
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(bounds[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    if len(bounds) <= 64:
-        tree = node(0, len(bounds))
-        return tree
-    array = F.array(*map(F.lit, bounds))
-    return F.coalesce(F.size(F.filter(array, lambda b: b < key)), F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.from_json(F.lit(json.dumps(bounds[step - 1 :: step])), "array<bigint>")
+    fine = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    at = F.coalesce(F.size(F.filter(coarse, lambda b: b < key)), F.lit(0)) * step
+    return at + F.coalesce(F.size(F.filter(F.slice(fine, at + 1, F.lit(step)), lambda b: b < key)), F.lit(0))
 
 
 def crc_mod(key: Column, n: int) -> Column:

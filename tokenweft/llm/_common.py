@@ -76,11 +76,22 @@ def _uncollected(f):
     return run
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     attach(df.sparkSession)
     return df.mapInArrow(_uncollected(f), schema)
 
 
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, where keep says so of a block of texts; no shuffle."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_runs(whole):
+                yield batch.filter(pa.array(keep(batch)))
+
+    return mapped(docs, run, docs.schema)
+
+
 def runs(lengths, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose summed lengths stay near limit (one row at least), so that Python objects stay bounded."""
     start, total = 0, 0

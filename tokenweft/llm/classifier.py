@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import crc_mod, mapped, text_runs
+from tokenweft.llm._common import crc_mod, filtered, mapped, text_runs
 from tokenweft.llm.words import Block, word_table
 
 BITS = 18
@@ -192,3 +192,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, bits: int = BITS, max_rows: int = MAX_ROWS) -> DataFrame:
     return score(docs, fit(docs, labels, label, bits, max_rows), threshold)
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda batch: shared.value.scores(Block(word_table(True), batch.column("text").to_pylist())) >= threshold)

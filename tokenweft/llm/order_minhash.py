@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from tokenweft.llm._common import bucket_of, ordered_buckets
 
-K, M, LENGTH = 3, 32, 2
+K, M, LENGTH = 2, 32, 2
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 _TRIM = " \t\n\x0b\x0c\r"
 _EMPTY = "--------"

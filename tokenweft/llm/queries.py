@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenweft.llm import classifier, language_model, near_join, order_minhash, packing, quality_rules, replay, store, toxicity
+from tokenweft.llm import classifier, language_model, near_join, order_minhash, packing, quality_rules, replay, store, tool_calls, toxicity
 from tokenweft.llm._common import read
 
 
@@ -28,6 +28,11 @@ def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(read(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(read(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.conversation_schemas(spark))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_language_model, op3_near_join, op5_order_minhash, op6_rules, op7_packing, op8_store, op9_toxicity, op10_merge_replay)}
+    return {f.__name__: f for f in (op1_quality, op2_language_model, op3_near_join, op4_tool_calls, op5_order_minhash, op6_rules, op7_packing, op8_store, op9_toxicity, op10_merge_replay)}
 
 
 def oracle_sql() -> dict[str, str]:

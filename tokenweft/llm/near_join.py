@@ -2,15 +2,14 @@
 
 Every text is the set of its word shingles (WIDTH words; a shorter text is one shingle of all its words). Sets
 are embedded as 128 minimum hashes, so that two sets agree in a coordinate with a probability equal to their
-Jaccard similarity. A run samples a coordinate and splits all sets by its value; buckets over LIMIT are split
-again, each into several children by further sampled coordinates; small buckets are compared by brute force.
-Runs repeat until the chance to miss a pair at the threshold falls below 1 - recall.
+Jaccard similarity. A run samples a coordinate and splits all sets by its value; small buckets are compared by brute
+force, those over LIMIT are split again, each into several children by further sampled coordinates. Runs repeat until the chance to miss a pair at the threshold falls below 1 - recall.
 
 1. Equal sets collapse to one representative first, so copies never meet in a bucket.
 2. In a bucket, sets whose embeddings agree closely enough (threshold less four standard deviations) are joined by
-   union-find; the bucket gives a link to the local root for each set, not its pairs. A bucket still over LIMIT after
-   the deepest split is dealt into chunks by hash; a few members of each local group of a chunk go on to the next
-   round, until one chunk is left, so that no task ever holds a large group.
+   union-find; the bucket gives a link to the local root for each set, not its pairs. Before a bucket over LIMIT is
+   split, it is dealt into chunks by hash, and only KEEP members of each local group of a chunk go on to the split: a large
+   group of near copies shrinks to a few sets at once, and no task ever holds a large group.
 3. Components of those links contain every true class. Inside each, exact set intersections decide: a component
    is cut into blocks of about BLOCK sets, every pair of blocks is one task's unit, and what it returns is each
    set's number of links and its local root - never the pairs. Components of these exact links are the classes.
@@ -40,7 +39,7 @@ from tokenweft.llm.components import components
 from tokenweft.llm.words import grams, word_table, words
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
-COORDINATES, LIMIT, CHILDREN, DEPTH, BLOCK = 128, 1000, 3, 3, 800
+COORDINATES, LIMIT, CHILDREN, DEPTH, KEEP, BLOCK = 128, 1000, 3, 3, 3, 800
 
 _seeds = np.random.default_rng(20_240_601)
 _XOR = _seeds.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -218,30 +217,31 @@ def loose_links(reps: DataFrame, threshold: float) -> DataFrame:
     sigs = reps.select("rep", "sig")
     nodes = stored(mapped(reps.select("rep", "tops"), _roots, "path long, rep long"))
     found: list[DataFrame] = []
-    for depth in range(DEPTH + 1):
+    depth = 0
+    while True:
         sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = nodes.join(sizes, "path")
         small = sized.where(F.col("size") <= LIMIT).join(sigs, "rep").select(F.col("path").alias("chunk"), "path", "rep", "sig")
         found.append(stored(_bucket_links(small, need, 0).select("a", "b").distinct()))
-        big = sized.where(F.col("size") > LIMIT)
-        if depth == DEPTH:
-            break
-        big = stored(big.select("path", "rep"))
+        big = stored(sized.where(F.col("size") > LIMIT))
         if big.isEmpty():
             return _all(found)
-        nodes = stored(mapped(big.join(sigs, "rep").select("path", "rep", "sig"), _children(CHILDREN, depth), "path long, rep long"))
-    members = stored(big.select("path", "rep", "size"))
-    while not members.isEmpty():
-        chunk = F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("size") / LIMIT)))
-        links = stored(_bucket_links(members.withColumn("chunk", chunk).join(sigs, "rep").select("chunk", "path", "rep", "sig"), need, 3))
+        # alike members of a chunk are joined, and a few of each local group go on: a group of near copies shrinks at once
+        chunk = F.xxhash64("path", F.pmod(F.xxhash64("rep", "path", F.lit(depth)), F.ceil(F.col("size") / LIMIT)))
+        links = stored(_bucket_links(big.withColumn("chunk", chunk).join(sigs, "rep").select("chunk", "path", "rep", "sig"), need, KEEP))
         found.append(links.where("b >= 0").select("a", "b"))
         going = links.where("b < 0").select("path", F.col("a").alias("rep"))
-        sizes = going.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
-        before = members.groupBy("path").agg(F.max("size").alias("was"))
-        # a path ends when all its members sat in one chunk; one that no longer shrinks has no similar members left to join
-        again = sizes.join(before, "path").where(f"was > {LIMIT} and size < 0.9 * was").select("path", "size")
-        members = stored(going.join(again, "path").select("path", "rep", "size"))
-    return _all(found)
+        left = going.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+        before = big.groupBy("path").agg(F.max("size").alias("was"))
+        sized = going.join(left.join(before, "path"), "path")
+        # the unlike rest of a large bucket is split by further coordinates; after DEPTH splits only buckets that still shrink go on
+        same = sized.where(F.col("size") <= LIMIT).select("path", "rep")
+        wide = sized.where(F.col("size") > LIMIT)
+        if depth < DEPTH:
+            split = mapped(wide.join(sigs, "rep").select("path", "rep", "sig"), _children(CHILDREN, depth), "path long, rep long")
+        else:
+            split = wide.where("size < 0.9 * was").select("path", "rep")
+        nodes, depth = stored(same.unionByName(split)), depth + 1
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -311,7 +311,8 @@ def _exact(threshold: float):
 
 def exact_links(docs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
     """(rep, links, root) rows, one for each unit a set is in; members: rep, doc_id, key_a, key_b, component, blocks."""
-    texts = docs.select(F.col("doc_id").alias("at"), "text").join(members, F.col("at").eqNullSafe(F.col("doc_id")))
+    # a merge join at every size: the members grow with the input, so they are never broadcast
+    texts = docs.select(F.col("doc_id").alias("at"), "text").join(members.hint("merge"), F.col("at").eqNullSafe(F.col("doc_id")))
     sets = mapped(texts.select("rep", "component", "blocks", "key_a", "key_b", "text"), _keyed_sets(width), "rep long, component long, blocks int, found binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     units = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

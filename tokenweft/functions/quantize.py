@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tokenweft.functions.vectors import col
+from tokenweft.functions.vectors import col, let
 
 #: Half of the largest code for each width over one bit.
 HALF = {2: 1.5, 4: 7.5, 8: 127.5}
@@ -36,24 +36,29 @@ def pack(codes: Column | str, bits: int) -> Column:
     """Codes as bytes, first code in the highest bits; the last byte is filled with zero bits."""
     per = 8 // check_bits(bits)
     c = col(codes)
-    byte = lambda i: sum((F.shiftleft(F.coalesce(F.get(c, i * per + j), F.lit(0)).cast("int"), bits * (per - 1 - j)) for j in range(per)), F.lit(0))
-    n = F.ceil(F.size(c) / per).cast("int")
-    digits = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
-    return F.when(n > 0, F.unhex(F.array_join(digits, ""))).otherwise(F.lit("").cast("binary"))
+    byte = lambda v, i: sum((F.shiftleft(F.coalesce(F.get(v, i * per + j), F.lit(0)).cast("int"), bits * (per - 1 - j)) for j in range(per)), F.lit(0))
+    n = F.size(c)
+    digits = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / per).cast("int") - 1), lambda i: F.lpad(F.hex(byte(v, i)), 2, "0"))
+    return F.when(n > 0, F.unhex(F.array_join(let(c, digits), ""))).otherwise(F.lit("").cast("binary"))
 
 
 def unpack(data: Column | str, bits: int, dim: Column | int) -> Column:
     """The first dim codes of packed bytes."""
     per = 8 // check_bits(bits)
-    text = F.hex(col(data))
-    value = lambda i: F.conv(F.substring(text, F.floor(i / per).cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
     dim = F.lit(dim) if isinstance(dim, int) else dim
 
-    def code(i: Column) -> Column:
-        shift = (F.lit(per - 1) - i % per) * bits
-        return F.floor(value(i) / F.pow(F.lit(2), shift)).cast("int") % (1 << bits)
+    def codes(text: Column) -> Column:
+        """text: one character for each byte."""
 
-    return F.when(dim > 0, F.transform(F.sequence(F.lit(0), dim - 1), code)).otherwise(F.array().cast("array<int>"))
+        def code(i: Column) -> Column:
+            byte = F.ascii(F.substring(text, F.floor(i / per).cast("int") + 1, F.lit(1)))
+            if bits == 8:
+                return byte
+            return F.floor(byte / F.pow(F.lit(2), (F.lit(per - 1) - i % per) * bits)).cast("int") % (1 << bits)
+
+        return F.transform(F.sequence(F.lit(0), dim - 1), code)
+
+    return F.when(dim > 0, let(F.decode(col(data), "ISO-8859-1"), codes)).otherwise(F.array().cast("array<int>"))
 
 
 def ratio(dim: int, bits: int) -> float:

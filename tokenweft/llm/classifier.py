@@ -31,11 +31,16 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
 
-def sample_ids(labels: DataFrame, label: str, most: int, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """(doc_id, y): at most `most` labelled training ids, the first by a hash; ids with conflicting labels are left out."""
+def training_ids(labels: DataFrame, label: str, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+    """(doc_id, y) of all labelled training ids; ids with conflicting labels are left out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(f"doc_id is not null and y in (0, 1)")
     rows = rows.where(crc_mod(F.col("doc_id"), folds) != held_out)
-    one = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
+    return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
+
+
+def sample_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """At most `most` of the training ids, the first by a hash."""
+    one = training_ids(labels, label)
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 

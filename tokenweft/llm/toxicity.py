@@ -8,7 +8,8 @@ starts at the log-odds of its bucket, the rest at random. Training is minibatch
 the gradient to one window for each text and filter. A sigmoid fitted on a fifth of the sample turns the output
 into scores, and on the same fifth a threshold is chosen for each language; languages never enter a score.
 
-Fitting uses at most `max_rows` labelled training rows (MAX_ROWS), the first by a hash of their id; scoring is
+Fitting uses at most `max_rows` labelled training rows (MAX_ROWS), half of them of each label where there are as many,
+the first by a hash of their id; the sigmoid is shifted back to the labels' true shares. Scoring is
 one pass over all documents, whole texts, with memory bounded by a block of texts.
 
 Cases: null and empty texts keep the filters' floor of zero, so all of them have one score; texts shorter than
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenweft.llm._common import crc_mod, mapped, text_runs
-from tokenweft.llm.classifier import FOLDS, HELD_OUT, sample_ids, sigmoid_fit
+from tokenweft.llm.classifier import FOLDS, HELD_OUT, sigmoid_fit, training_ids
 from tokenweft.llm.words import words
 
 BITS, DIM, WIDTHS, FILTERS, PARTS = 16, 12, (1, 2, 3), 12, 4
@@ -122,8 +123,8 @@ def log_odds(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     return np.where(seen.sum(0) > 1, np.clip(odds, -3, 3), 0.0)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits: int = BITS, epochs: int = 8, batch: int = 32, seed: int = 5) -> Model:
-    """rows: (PARTS, words) embedding rows of each text; y: 0 or 1."""
+def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits: int = BITS, epochs: int = 8, batch: int = 32, seed: int = 5, prior: float | None = None) -> Model:
+    """rows: (PARTS, words) embedding rows of each text; y: 0 or 1; prior: the share of 1 outside the sample."""
     if not len(y) or y.min() == y.max():
         return Model.constant(float(y.mean()) if len(y) else 0.5, bits)
     rng = np.random.default_rng(seed)
@@ -191,6 +192,9 @@ def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits:
     model.bias = float(bias[0])
     margins = np.concatenate([model.raw(rows[i], np.array([rows[i].shape[1]])) for i in check]).astype(float)
     model.a, model.b = sigmoid_fit(margins, np.where(y[check] == 1, 1.0, -1.0))
+    if prior is not None and 0 < prior < 1:  # the sample holds more of the rarer class than there is
+        share = float(y.mean())
+        model.b += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
     scores = 1 / (1 + np.exp(-np.clip(model.a * margins + model.b, -35, 35)))
     model.thresholds = language_thresholds(scores, y[check], [langs[i] for i in check])
     return model
@@ -216,7 +220,10 @@ def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | Non
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_ROWS) -> Model:
-    sample = F.broadcast(sample_ids(labels, label, max_rows))
+    known = training_ids(labels, label)
+    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    ones, zeros = (known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_rows // 2), (0, max_rows - max_rows // 2)))
+    sample = F.broadcast(ones.unionByName(zeros))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     names = [f"part{k}" for k in range(PARTS)]
@@ -237,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BI
     ends = np.concatenate([[0], np.cumsum(parts[0].value_lengths().to_numpy())]) if len(parts[0]) else np.zeros(1, int)
     flat = np.stack([p.flatten().to_numpy() for p in parts]) if len(parts[0]) else np.zeros((PARTS, 0), int)
     langs = found["lang"].to_pylist()
-    return train([flat[:, ends[i] : ends[i + 1]] for i in order], found["y"].to_numpy()[order].astype(int), [langs[i] for i in order], bits)
+    return train([flat[:, ends[i] : ends[i + 1]] for i in order], found["y"].to_numpy()[order].astype(int), [langs[i] for i in order], bits, prior=shares.get(1, 0) / max(1, sum(shares.values())))
 
 
 _buckets: dict[int, Buckets] = {}

@@ -346,7 +346,6 @@ def near_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """One document of each class: the one with the least doc_id (of equal ids one row; of null ids, where a class has no other, all)."""
+    """The documents that carry the least doc_id of their class. Rows that share this id, and rows without an id, all stay."""
     going = joined.where("doc_id is not null and doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(going, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    return left
+    return docs.join(going, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -562,11 +562,11 @@ def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("chunk_id", chunk.chunk_id("doc_id", "chunk_index"))
 
 
-@registered(f"WITH {TURNS}, asked AS (SELECT chunk_id FROM mp UNION ALL SELECT chunk_id || '_unknown' FROM mp) SELECT chunk_id, doc_id FROM asked LEFT JOIN mp USING (chunk_id)")
+@registered(f"WITH {TURNS}, asked AS (SELECT chunk_id FROM mp UNION ALL SELECT chunk_id || '_unknown' FROM mp) SELECT chunk_id, coalesce(doc_id::VARCHAR, 'none') AS doc_id FROM asked LEFT JOIN mp USING (chunk_id)")
 def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _mapping(spark, sf_dir)
     asked = mapping.select("chunk_id").unionByName(mapping.select(F.concat("chunk_id", F.lit("_unknown")).alias("chunk_id")))
-    return chunk.doc_of(asked, mapping)
+    return chunk.doc_of(asked, mapping).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
 
 
 @registered(f"WITH {TURNS} SELECT doc_id, chunk_index, chunk_id FROM mp WHERE doc_id IN (SELECT doc_id FROM documents)")

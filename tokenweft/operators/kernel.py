@@ -52,13 +52,14 @@ def _score(part, top_k: int | None, id_type: pa.DataType, digits: int):
             some = np.flatnonzero(counts)
             if not len(some):
                 continue
-            flat = lists.filter(pa.array(counts > 0)).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(counts.sum()), -1)
+            whole = len(some) == len(counts)
+            flat = (lists if whole else lists.filter(pa.array(counts > 0))).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(int(counts.sum()), -1)
             first = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
             best = np.empty((len(vectors), len(some)))
             for s in range(0, len(vectors), 512):  # a bounded block of query tokens at a time
                 best[s : s + 512] = np.maximum.reduceat(vectors[s : s + 512] @ flat.T, first, axis=1)
             scores = np.add.reduceat(best * weights[:, None], starts, axis=0)
-            names = batch.column("doc_id").take(pa.array(some))
+            names = batch.column("doc_id") if whole else batch.column("doc_id").take(pa.array(some))
             if top_k is not None and len(some) > top_k:
                 rounded = np.round(scores, digits)
                 order = pc.array_sort_indices(names).to_numpy()

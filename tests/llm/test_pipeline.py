@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from tokenweft.llm import classifier, near_join, packing, quality_rules
-from tokenweft.llm._common import bucket_of, ordered_buckets, read
+from tokenweft.llm._common import bucket_of, hash_sample, ordered_buckets, read
 from tokenweft.llm.queries import vocabulary
 
 
@@ -31,3 +31,12 @@ def test_buckets_are_ordered(spark):
     bounds, n = ordered_buckets(df, "k", rows_per_bucket=20)
     got = df.withColumn("b", bucket_of(df["k"], bounds)).collect()
     assert n == len(got) and all(r["b"] == sum(x < r["k"] for x in bounds) for r in got)
+
+
+def test_hash_sample_is_that_of_a_full_sort(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(200_000).withColumnRenamed("id", "k")
+    want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(50).collect()]
+    assert sorted(r["k"] for r in hash_sample(df, "k", 50).collect()) == sorted(want)
+    assert hash_sample(df.limit(0), "k", 50).count() == 0 and hash_sample(df.limit(30), "k", 50).count() == 30

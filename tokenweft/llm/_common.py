@@ -136,6 +136,18 @@ def bucket_of(key: Column, bounds: list) -> Column:
     return at + F.coalesce(F.size(F.filter(F.slice(fine, at + 1, F.lit(step)), lambda b: b < key)), F.lit(0))
 
 
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those with the least hashes of an integer key.
+
+    Of a table with many more rows only hashes below twice the wanted share are sorted, so the last task of the sort
+    sees a few times `most` rows at any size; the rows are the same as without that filter.
+    """
+    h, n = F.xxhash64(key), rows.count()
+    if n > 4 * most:
+        rows = rows.where(h <= F.lit(-(1 << 63) + int((1 << 64) * (2 * most + 1000) / n)).cast("long"))
+    return rows.orderBy(h, key).limit(most)
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

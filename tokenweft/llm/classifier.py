@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import crc_mod, filtered, mapped, text_runs
+from tokenweft.llm._common import crc_mod, filtered, hash_sample, mapped, text_runs
 from tokenweft.llm.words import Block, word_table
 
 BITS = 18
@@ -40,8 +40,7 @@ def training_ids(labels: DataFrame, label: str, folds: int = FOLDS, held_out: in
 
 def sample_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     """At most `most` of the training ids, the first by a hash."""
-    one = training_ids(labels, label)
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return hash_sample(training_ids(labels, label), "doc_id", most)
 
 
 def indicators(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import crc_mod, mapped, text_runs
+from tokenweft.llm._common import crc_mod, hash_sample, mapped, text_runs
 from tokenweft.llm.classifier import FOLDS, HELD_OUT, sigmoid_fit, training_ids
 from tokenweft.llm.words import words
 
@@ -222,7 +222,7 @@ def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | Non
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_ROWS) -> Model:
     known = training_ids(labels, label)
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    ones, zeros = (known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_rows // 2), (0, max_rows - max_rows // 2)))
+    ones, zeros = (hash_sample(known.where(F.col("y") == y), "doc_id", n) for y, n in ((1, max_rows // 2), (0, max_rows - max_rows // 2)))
     sample = F.broadcast(ones.unionByName(zeros))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 

@@ -63,6 +63,17 @@ def stored(df: DataFrame, path: str | None = None, compression: str = "zstd") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(name, make: Callable):
+    """A worker process's cache by that name. Caches of another name go first: a worker serves stage after stage, but one at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def _uncollected(f):
     """f with the cycle collector off: it makes millions of small objects and no cycles, and is read by reference counts alone."""
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import mapped, text_runs
+from tokenweft.llm._common import held, mapped, text_runs
 from tokenweft.llm.segments import PATTERN, split
 
 
@@ -170,13 +170,8 @@ class ReplayEncoder:
             self.cache[s] = b"".join(map(coded.__getitem__, ms))
 
 
-_encoders: dict[str, ReplayEncoder] = {}
-
-
 def _encoder(path: str) -> ReplayEncoder:
-    if path not in _encoders:
-        _encoders[path] = ReplayEncoder(path)
-    return _encoders[path]
+    return held(("replay", path), lambda: ReplayEncoder(path))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

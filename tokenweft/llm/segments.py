@@ -13,6 +13,8 @@ from collections.abc import Callable
 
 import regex
 
+from tokenweft.llm._common import held
+
 #: The characters that end a word for the pattern's \s.
 SPACES = " \t\n\x0b\x0c\r\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 RUNS = re.compile(f"[{SPACES}]+[^{SPACES}]*|[^{SPACES}]+")
@@ -90,11 +92,6 @@ class LibraryEncoder:
 #: Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_encoders: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
     """One encoder, and so one cache, for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return held(("segments", path), lambda: LibraryEncoder(path))

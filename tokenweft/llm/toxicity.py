@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import crc_mod, hash_sample, mapped, text_runs
+from tokenweft.llm._common import crc_mod, hash_sample, held, mapped, text_runs
 from tokenweft.llm.classifier import FOLDS, HELD_OUT, sigmoid_fit, training_ids
 from tokenweft.llm.words import words
 
@@ -247,16 +247,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BI
     return train([flat[:, ends[i] : ends[i + 1]] for i in order], found["y"].to_numpy()[order].astype(int), [langs[i] for i in order], bits, prior=shares.get(1, 0) / max(1, sum(shares.values())))
 
 
-_buckets: dict[int, Buckets] = {}
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, and by the language's own threshold: lang_threshold, lang_predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         found = shared.value
-        buckets = _buckets.setdefault(found.bits, Buckets(found.bits))
+        buckets = held(("buckets", found.bits), lambda: Buckets(found.bits))
         for whole in batches:
             for batch in text_runs(whole, limit=1_000_000):
                 got = found.scores(*buckets.of(batch.column("text").to_pylist()))

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from tokenweft.llm._common import held
+
 #: Byte classes of a word's shape: capitals A, small letters and all bytes beyond ASCII a, digits 0; other bytes stay.
 _CLASSES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(?<=a)a+|(?<=A)A+|(?<=0)0+")
@@ -73,14 +75,9 @@ class WordTable(dict):
         return self._shapes[rows]
 
 
-_tables: dict[bool, WordTable] = {}
-
-
 def word_table(shapes: bool) -> WordTable:
     """One table for each worker process."""
-    if shapes not in _tables:
-        _tables[shapes] = WordTable(shapes)
-    return _tables[shapes]
+    return held(("words", shapes), lambda: WordTable(shapes))
 
 
 def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:

@@ -74,6 +74,30 @@ def test_join_of_large_groups(spark, monkeypatch):
     assert join_rows(df) == ordered(classes_by_hand(rows))
 
 
+def fringe_rows(group, pairs):
+    """A group of near copies; texts a little like it, each with a near copy that is not like the group."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = rng.sample(words, 100), []
+    for i in range(group):
+        w = list(base)
+        w[rng.randrange(100)] = rng.choice(words)
+        rows.append((i, " ".join(w), None))
+    for i in range(pairs):
+        w = [*base[:80], *(f"t{i}x{k}" for k in range(18))]
+        rows.append((10_000 + i, " ".join(w), None))
+        rows.append((20_000 + i, " ".join([*(f"h{i}x{k}" for k in range(10)), *w[10:]]), None))
+    return rows
+
+
+def test_join_at_the_fringe_of_a_large_group(spark, monkeypatch):
+    """Both texts of a pair must be compared, though a bucket over the limit joins only one of them to its group."""
+    rows = fringe_rows(150, 60)
+    monkeypatch.setattr(near_join, "LIMIT", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert join_rows(df) == ordered(classes_by_hand(rows))
+
+
 def test_runs_follow_the_recall():
     assert near_join.n_runs(0.8, 0.99999) == 8 and near_join.n_runs(0.5, 0.9) == 4
     rng = np.random.default_rng(0)

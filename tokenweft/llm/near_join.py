@@ -7,9 +7,11 @@ force, those over LIMIT are split again, each into several children by further s
 
 1. Equal sets collapse to one representative first, so copies never meet in a bucket.
 2. In a bucket, sets whose embeddings agree closely enough (threshold less four standard deviations) are joined by
-   union-find; the bucket gives a link to the local root for each set, not its pairs. Before a bucket over LIMIT is
-   split, it is dealt into chunks by hash, and only KEEP members of each local group of a chunk go on to the split: a large
-   group of near copies shrinks to a few sets at once, and no task ever holds a large group.
+   union-find; the bucket gives a link to the local root for each set, not its pairs. All members of a bucket over LIMIT
+   go on to its split. A bucket that a split would not make cheaper (near copies, a passage that is most of its texts), or
+   whose run has no coordinates left, is finished instead: it is dealt into chunks by hash, and what these and the small
+   buckets leave outside its largest component meets the whole bucket in pairs of blocks. Pairs within one component
+   need no comparison, so a large group of near copies costs little more than its chunks, and no task holds a large group.
 3. Components of those links contain every true class. Inside each, exact set intersections decide: a component
    is cut into blocks of about BLOCK sets, every pair of blocks is one task's unit, and what it returns is each
    set's number of links and its local root - never the pairs. Components of these exact links are the classes.
@@ -39,7 +41,8 @@ from tokenweft.llm.components import components
 from tokenweft.llm.words import grams, word_table, words
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
-COORDINATES, LIMIT, CHILDREN, DEPTH, KEEP, BLOCK = 128, 1000, 3, 3, 3, 800
+COORDINATES, LIMIT, CHILDREN, BLOCK = 128, 1000, 3, 800
+_RUN = np.uint64(127)  # the low bits of a path: its run
 
 _seeds = np.random.default_rng(20_240_601)
 _XOR = _seeds.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -51,6 +54,11 @@ def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return min(COORDINATES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))))
 
 
+def n_levels(runs: int) -> int:
+    """Splits below a root: each takes CHILDREN further coordinates that only its run has."""
+    return (COORDINATES - runs) // runs // CHILDREN
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes of the whole text."""
     table = word_table(False)
@@ -97,29 +105,34 @@ def _sets(width: int, runs: int):
 
 
 def _roots(batches):
-    """(path, rep) of every run's root split."""
+    """(path, rep) of every run's root split; a path ends in its run."""
     for batch in batches:
         tops = np.frombuffer(b"".join(batch.column("tops").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
         runs = tops.shape[1]
         path = (tops * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(runs, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        path = (path & ~_RUN) | np.arange(runs, dtype=np.uint64)
         rep = np.repeat(batch.column("rep").to_numpy(), runs)
         yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), pa.array(rep)], names=["path", "rep"])
 
 
-def _children(children: int, depth: int):
-    """Paths of the next level: `children` coordinates sampled for each node."""
+def _children(depth: int, runs: int):
+    """(path, rep, parent) of the next level: each node is split by the run's own CHILDREN coordinates of this depth."""
+    each = (COORDINATES - runs) // runs
 
     def run(batches):
         for batch in batches:
-            path = batch.column("path").to_numpy().view(np.uint64)
+            parent = batch.column("path").to_numpy().view(np.uint64)
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES).astype(np.uint64)
             outs = []
-            for j in range(children):
-                node = (path ^ np.uint64(j * 7919 + depth)) * np.uint64(0xD6E8FEB86659FD93)
+            for j in range(CHILDREN):
+                at = (parent & _RUN) * np.uint64(each) + np.uint64(runs + CHILDREN * depth + j)
+                node = (parent ^ (at << np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93)
                 node ^= node >> np.uint64(32)
-                value = np.take_along_axis(sig, (node % np.uint64(COORDINATES)).astype(np.int64)[:, None], 1)[:, 0]
-                outs.append(((node * np.uint64(0x9E3779B97F4A7C15)) ^ (value + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(outs)), pa.array(np.tile(batch.column("rep").to_numpy(), children))], names=["path", "rep"])
+                value = np.take_along_axis(sig, at.astype(np.int64)[:, None], 1)[:, 0]
+                path = (node * np.uint64(0x9E3779B97F4A7C15)) ^ (value + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                outs.append(((path & ~_RUN) | (parent & _RUN)).view(np.int64))
+            rep, parents = (np.tile(batch.column(c).to_numpy(), CHILDREN) for c in ("rep", "path"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(outs)), pa.array(rep), pa.array(parents)], names=["path", "rep", "parent"])
 
     return run
 
@@ -168,14 +181,14 @@ def agreement(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _loose(need: int, keep: int):
-    """(a, b, path): the link of each bucket member to its local root, and `keep` members of each local group as (rep, null, path)."""
+def _loose(need: int):
+    """(a, b): the link of each chunk member to its local root."""
 
     def run(batches):
         for table in _groups(batches, "chunk"):
-            k, path, rep = (table.column(c).to_numpy() for c in ("chunk", "path", "rep"))
+            k, rep = (table.column(c).to_numpy() for c in ("chunk", "rep"))
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
-            a, b, p = [], [], []
+            a, b = [], []
             for s, e in _spans(k):
                 order = np.argsort(rep[s:e])
                 r = rep[s:e][order]
@@ -183,65 +196,71 @@ def _loose(need: int, keep: int):
                     if (sig[s] == sig[s + 1]).sum() >= need:
                         a.append(r[1:])
                         b.append(r[:1])
-                        p.append(path[s : s + 1])
-                    if not keep:
-                        continue
+                    continue
                 label = union(agreement(sig[s:e][order]) >= need)
-                if e - s > 2:
-                    mine = np.flatnonzero(label != np.arange(e - s))
-                    a.append(r[mine])
-                    b.append(r[label[mine]])
-                    p.append(np.full(len(mine), path[s]))
-                if keep:
-                    by = np.argsort(label, kind="stable")
-                    rank = np.arange(e - s) - np.searchsorted(label[by], label[by])
-                    some = r[by[rank < keep]]
-                    a.append(some)
-                    b.append(np.full(len(some), -1))
-                    p.append(np.full(len(some), path[s]))
+                mine = np.flatnonzero(label != np.arange(e - s))
+                a.append(r[mine])
+                b.append(r[label[mine]])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, p)], names=["a", "b", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], names=["a", "b"])
 
     return run
 
 
-def _bucket_links(members: DataFrame, need: int, keep: int) -> DataFrame:
-    """members: chunk, path, rep, sig."""
-    dealt = members.repartition("chunk").sortWithinPartitions("chunk")
-    return mapped(dealt, _loose(need, keep), "a long, b long, path long")
-
-
-def loose_links(reps: DataFrame, threshold: float) -> DataFrame:
+def _chunk_links(members: DataFrame, need: int) -> DataFrame:
+    """members: chunk, rep, sig."""
+    dealt = members.select("chunk", "rep", "sig").repartition("chunk").sortWithinPartitions("chunk")
+    return stored(mapped(dealt, _loose(need), "a long, b long").distinct())
+
+
+def _rest_links(rest: DataFrame, found: list[DataFrame], sigs: DataFrame, need: int) -> list[DataFrame]:
+    """`found` and links that join all pairs of the buckets in rest(path, rep, size), which are over LIMIT."""
+    chunk = F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("size") / LIMIT)))
+    found = [*found, _chunk_links(rest.select(chunk.alias("chunk"), "rep").join(sigs, "rep"), need)]
+    known = components(_all(found)).select(F.col("node").alias("rep"), "root")
+    parts = stored(rest.join(known, "rep", "left").select("path", "rep", "size", F.coalesce("root", "rep").alias("root")))
+    # pairs of one component are joined already: the rest of a bucket meets all of it, its largest component does not meet itself
+    groups = parts.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = groups.groupBy("path").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).where("most.n < all")
+    most = stored(most.select("path", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / (LIMIT / 2)).alias("out"), F.ceil(F.col("most.n") / (LIMIT / 2)).alias("in")))
+    if most.isEmpty():
+        return found
+    apart, hashed = F.col("root") != F.col("main"), F.xxhash64("rep", "path")
+    block = F.when(apart, F.pmod(hashed, F.col("out"))).otherwise(F.col("out") + F.pmod(hashed, F.col("in")))
+    last = F.when(apart, F.col("out") + F.col("in")).otherwise(F.col("out")) - 1
+    units = parts.join(most, "path").join(sigs, "rep").select("path", "rep", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    units = units.where("block != other").withColumn("chunk", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")))
+    return [*found, _chunk_links(units, need)]
+
+
+def loose_links(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Links (a, b) whose components contain all pairs at the threshold, from reps(rep, tops, sig)."""
     need = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
+    runs = n_runs(threshold, recall)
     sigs = reps.select("rep", "sig")
     nodes = stored(mapped(reps.select("rep", "tops"), _roots, "path long, rep long"))
     found: list[DataFrame] = []
-    depth = 0
-    while True:
+    rest: list[DataFrame] = []
+    for depth in range(n_levels(runs) + 1):
         sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = nodes.join(sizes, "path")
-        small = sized.where(F.col("size") <= LIMIT).join(sigs, "rep").select(F.col("path").alias("chunk"), "path", "rep", "sig")
-        found.append(stored(_bucket_links(small, need, 0).select("a", "b").distinct()))
+        small = sized.where(F.col("size") <= LIMIT).join(sigs, "rep").select(F.col("path").alias("chunk"), "rep", "sig")
+        found.append(_chunk_links(small, need))
         big = stored(sized.where(F.col("size") > LIMIT))
         if big.isEmpty():
-            return _all(found)
-        # alike members of a chunk are joined, and a few of each local group go on: a group of near copies shrinks at once
-        chunk = F.xxhash64("path", F.pmod(F.xxhash64("rep", "path", F.lit(depth)), F.ceil(F.col("size") / LIMIT)))
-        links = stored(_bucket_links(big.withColumn("chunk", chunk).join(sigs, "rep").select("chunk", "path", "rep", "sig"), need, KEEP))
-        found.append(links.where("b >= 0").select("a", "b"))
-        going = links.where("b < 0").select("path", F.col("a").alias("rep"))
-        left = going.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
-        before = big.groupBy("path").agg(F.max("size").alias("was"))
-        sized = going.join(left.join(before, "path"), "path")
-        # the unlike rest of a large bucket is split by further coordinates; after DEPTH splits only buckets that still shrink go on
-        same = sized.where(F.col("size") <= LIMIT).select("path", "rep")
-        wide = sized.where(F.col("size") > LIMIT)
-        if depth < DEPTH:
-            split = mapped(wide.join(sigs, "rep").select("path", "rep", "sig"), _children(CHILDREN, depth), "path long, rep long")
-        else:
-            split = wide.where("size < 0.9 * was").select("path", "rep")
-        nodes, depth = stored(same.unionByName(split)), depth + 1
+            break
+        if depth == n_levels(runs):
+            rest.append(big)
+            break
+        split = stored(mapped(big.join(sigs, "rep").select("path", "rep", "sig"), _children(depth, runs), "path long, rep long, parent long"))
+        # a split pays where CHILDREN buckets of the widest child's size have fewer pairs than the bucket itself
+        widest = split.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
+        was = big.groupBy(F.col("path").alias("parent")).agg(F.max("size").alias("size"))
+        stuck = stored(widest.join(was, "parent").where((F.col("n") > LIMIT) & (CHILDREN * F.col("n") * F.col("n") >= F.col("size") * F.col("size"))).select("parent"))
+        rest.append(stored(big.join(stuck, big["path"] == stuck["parent"], "left_semi").select("path", "rep", "size")))
+        nodes = stored(split.join(stuck, "parent", "left_anti").select("path", "rep"))
+    rest = [r.select("path", "rep", "size") for r in rest if not r.isEmpty()]
+    return _all(_rest_links(_all(rest), found, sigs, need) if rest else found)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -330,7 +349,7 @@ def near_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
     reps = sets.groupBy(*key).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("least"))
     reps = stored(reps)
     lone = reps.select("rep").join(sets.select(F.col("row").alias("rep"), "n", "tops", "sig"), "rep").where("n > 0")
-    loose = components(loose_links(stored(lone.select("rep", "tops", "sig")), threshold))
+    loose = components(loose_links(stored(lone.select("rep", "tops", "sig")), threshold, recall))
     size = loose.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     # where a set's own row has a null doc_id, any null row may carry the text: the key decides
     members = loose.join(size, "root").join(sets.select(F.col("row").alias("node"), "doc_id", *key), "node")

@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokenweft.llm import near_join, order_minhash, tool_calls
@@ -107,6 +109,30 @@ def test_runs_follow_the_recall():
     assert abs((near_join.embed(a) == near_join.embed(b)).mean() - want) < 0.15
 
 
+def test_recall_includes_the_cut_and_all_splits():
+    need, runs = near_join.cut(0.8, 0.99999), near_join.n_runs(0.8, 0.99999)
+    short = sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(need))
+    lost = (0.2 + 0.8 * (1 - (1 - 0.2**near_join.CHILDREN) ** near_join.n_levels(runs))) ** runs
+    assert 0 < short and short + lost <= 1e-5
+
+
+def test_splits_of_runs_use_their_own_coordinates():
+    runs = near_join.n_runs()
+    sig = np.tile(np.arange(128, dtype="<u2"), (2, 1))
+    used = []
+    for at in range(128):
+        sig[1] = sig[0]
+        sig[1, at] = 999
+        parts = 0
+        for r in range(runs):
+            for depth in range(near_join.n_levels(runs)):
+                batch = pa.record_batch({"path": pa.array([1280 + r] * 2, pa.int64()), "rep": pa.array([1, 2]), "sig": pa.array([s.tobytes() for s in sig])})
+                out = next(near_join._children(depth, runs)(iter([batch]))).to_pydict()
+                parts += len(set(out["path"])) - near_join.CHILDREN
+        used.append(parts)
+    assert used == [0] * runs + [1] * (128 - runs)
+
+
 def test_keep_one(spark, docs, rows):
     kept = near_join.keep_one(docs, near_join.near_join(docs))
     assert kept.columns == docs.columns

@@ -6,7 +6,7 @@ Jaccard similarity. A run samples a coordinate and splits all sets by its value;
 force, those over LIMIT are split again, each into several children by further sampled coordinates. Runs repeat until the chance to miss a pair at the threshold falls below 1 - recall.
 
 1. Equal sets collapse to one representative first, so copies never meet in a bucket.
-2. In a bucket, sets whose embeddings agree closely enough (threshold less four standard deviations) are joined by
+2. In a bucket, sets whose embeddings agree closely enough (`cut`: a pair at the threshold falls short with 1.4e-6) are joined by
    union-find; the bucket gives a link to the local root for each set, not its pairs. All members of a bucket over LIMIT
    go on to its split. A bucket that a split would not make cheaper (near copies, a passage that is most of its texts), or
    whose run has no coordinates left, is finished instead: it is dealt into chunks by hash, and what these and the small
@@ -54,6 +54,16 @@ def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return min(COORDINATES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold))))
 
 
+def cut(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Most coordinates to ask for so that a pair at the threshold has fewer with at most 0.15 of the chance that `recall` leaves."""
+    missed = 0.0
+    for need in range(COORDINATES + 1):
+        missed += math.comb(COORDINATES, need) * threshold**need * (1 - threshold) ** (COORDINATES - need)
+        if missed > 0.15 * (1 - recall):
+            break
+    return need
+
+
 def n_levels(runs: int) -> int:
     """Splits below a root: each takes CHILDREN further coordinates that only its run has."""
     return (COORDINATES - runs) // runs // CHILDREN
@@ -235,8 +245,7 @@ def _rest_links(rest: DataFrame, found: list[DataFrame], sigs: DataFrame, need:
 
 def loose_links(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Links (a, b) whose components contain all pairs at the threshold, from reps(rep, tops, sig)."""
-    need = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
-    runs = n_runs(threshold, recall)
+    need, runs = cut(threshold, recall), n_runs(threshold, recall)
     sigs = reps.select("rep", "sig")
     nodes = stored(mapped(reps.select("rep", "tops"), _roots, "path long, rep long"))
     found: list[DataFrame] = []

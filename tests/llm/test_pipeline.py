@@ -1,6 +1,7 @@
 """The pipeline against its stages' own decisions, taken one by one."""
 
 import corpus_pipeline
+from test_pairs import classes_by_hand, fringe_rows
 from tokenweft.llm import classifier, near_join, packing, quality_rules
 from tokenweft.llm._common import bucket_of, hash_sample, ordered_buckets, read
 from tokenweft.llm.queries import vocabulary
@@ -26,6 +27,15 @@ def test_stages_take_effect(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best-fit packing" and "pipeline" in corpus_pipeline.queries()
 
 
+def test_near_stage_against_brute_force(spark, monkeypatch):
+    """A group of near copies over the bucket limit, and pairs at its fringe: one document of each class stays."""
+    rows = fringe_rows(200, 60)
+    monkeypatch.setattr(near_join, "LIMIT", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, "").collect())
+    assert kept == sorted(i for i, c, *_ in classes_by_hand(rows) if i == c)
+
+
 def test_buckets_are_ordered(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
     bounds, n = ordered_buckets(df, "k", rows_per_bucket=20)

@@ -251,3 +251,13 @@ def test_conversations(spark, rows_):
     turns = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")
     got = tool_calls.link(*tool_calls.from_conversations(turns), tool_calls.conversation_schemas(spark)).collect()
     assert [r["status"] for r in got] == ["linked"] * (len(rows_) > 0)
+
+
+def test_conversations_keep_every_role(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "tool", "x"), (1, 3, "User", "y"), (1, 4, None, "z"), (1, 5, "assistant", "b"), (None, None, None, "w")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tool_calls.link(*tool_calls.from_conversations(turns), tool_calls.conversation_schemas(spark)).collect()
+    by = {(r["conv_id"], r["call_turn"]): (r["tool"], r["status"], r["reasons"]) for r in got}
+    assert len(got) == len(by) == 5 and by[1, 0] == ("reply", "linked", "")
+    assert by[1, 2] == ("role:tool", "unanswered", "unknown_tool") and by[1, 3] == ("role:User", "unanswered", "unknown_tool")
+    assert by[1, 4] == (None, "linked", "unknown_tool") and by[None, None] == (None, "unanswered", "unknown_tool")

@@ -108,13 +108,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results as conversations hold them: a user turn asks the tool "reply", a system turn the tool "configure"; the
-    assistant's turn right behind a turn is its result. A call's parent is the user call two turns before it, whose answer it follows."""
+    assistant's turn right behind a turn is its result. A call's parent is the user call two turns before it, whose answer it follows.
+    Every other role is a call of a tool named after it ("role:tool"; a null role gives a null tool), which has no schema. Only a row that
+    is null in all four columns holds nothing and gives nothing."""
     rows = turns.select("conv_id", "turn", "role", "text")
     name = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     said = F.coalesce("text", F.lit(""))
     arguments = F.to_json(F.struct(F.length(said).alias("n_chars"), said.alias("prompt"), F.col("turn")))
-    tool = F.when(F.col("role") == "user", "reply").otherwise("configure")
-    calls = rows.where("role in ('user', 'system')").select(
+    tool = F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure").otherwise(F.concat(F.lit("role:"), "role"))
+    calls = rows.where("role != 'assistant' or role is null and (conv_id is not null or turn is not null or text is not null)").select(
         "conv_id", "turn", name(F.col("turn")).alias("call_id"), F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("parent_id"), tool.alias("tool"), arguments.alias("arguments"),
     )
     results = rows.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))

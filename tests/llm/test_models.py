@@ -173,3 +173,9 @@ def test_count_packing():
         assert language_model.unpack_counts(language_model.pack_counts(np.array(v, np.int64))).tolist() == v
     keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 77, dtype=np.uint64))
     assert np.array_equal(language_model.unpack_keys(language_model.pack_keys(keys)), keys)
+
+
+def test_every_language_has_a_threshold():
+    names = [f"l{i:03}" for i in range(300)]
+    found = toxicity.language_thresholds(np.tile([0.1, 0.3], 300), np.tile([0, 1], 300), [x for x in names for _ in range(2)])
+    assert sorted(found) == names and max(abs(v - 0.2) for v in found.values()) < 1e-12

@@ -34,7 +34,6 @@ from tokenweft.llm.words import words
 BITS, DIM, WIDTHS, FILTERS, PARTS = 16, 12, (1, 2, 3), 12, 4
 MAX_ROWS = 8_000
 THRESHOLD = 0.5
-MAX_LANGUAGES = 256
 #: Fixed value: what is cut from both ends of a word.
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -203,7 +202,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], bits:
 def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | None]) -> dict[str, float]:
     """For each language with both labels, the middle of the cut with the best F1 (the widest gap on ties); else the general one."""
     out = {}
-    for lang in sorted({x for x in langs if x is not None})[:MAX_LANGUAGES]:
+    for lang in sorted({x for x in langs if x is not None}):
         mine = np.array([x == lang for x in langs])
         s, t = scores[mine], y[mine]
         if t.min() == t.max():

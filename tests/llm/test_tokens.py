@@ -20,7 +20,6 @@ LIBRARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(LIBRARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,6 +32,7 @@ def reference():
 
 ENCODER, REPLAY = segments.LibraryEncoder(LIBRARY), replay.ReplayEncoder(RANKS)
 TEXTS = st.text(alphabet=st.sampled_from("aAbZé'sdlre1².,!# \n\t\r\x0b\x1c\x1f\x85\xa0  　中文🙂Жʰ́​<|>"), max_size=40) | st.text(max_size=30)
+TEXTS |= st.lists(st.sampled_from(["<|endoftext|>", "a", " b", " ", "  ", "\n", "<|", "é", "中", "\t"]), max_size=8).map("".join)
 
 
 def test_pattern_is_the_public_one():
@@ -45,10 +45,34 @@ def test_segments_encode_as_whole_texts(library, text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == library(text)
 
 
+def test_added_tokens_as_plain_text():
+    t = Tokenizer.from_file(LIBRARY)
+    t.encode_special_tokens = True
+    literal = segments.LibraryEncoder(LIBRARY, literal=True)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n\ny"):
+        assert np.frombuffer(literal.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS | st.none(), max_size=6))
+def test_blocks_encode_as_lone_texts(library, texts):
+    ids, counts = segments.LibraryEncoder(LIBRARY).block(texts) if len(texts) > 4 else ENCODER.block(texts)
+    assert ids.tolist() == [i for t in texts for i in library(t)] and counts.tolist() == [len(library(t)) for t in texts]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXTS, max_size=4))
 def test_replay_is_word_by_word_encoding(reference, texts):
-    assert [b.decode() for b in REPLAY.block(texts)] == ["".join(f"{i}," for i in reference.encode_ordinary(t)) for t in texts]
+    ids, counts = REPLAY.block(texts)
+    assert ids.tolist() == [i for t in texts for i in reference.encode_ordinary(t)] and counts.tolist() == [len(reference.encode_ordinary(t)) for t in texts]
+
+
+def test_replay_of_long_words(reference):
+    rng = np.random.default_rng(3)
+    words = ["x" * 3_000, "ab" * 1_500, "".join(rng.choice(list("aeiourst"), 4_000)), *("".join(rng.choice(list("abcdeé中"), n)) for n in range(1, 400))]
+    assert REPLAY.block(words)[0].tolist() == [i for w in words for i in reference.encode_ordinary(w)]
+    ids, _ = REPLAY.block(["x" * 2_000_000])  # the library's time grows with the square of such a word
+    assert REPLAY.replay.decode(ids.tolist()) == b"x" * 2_000_000 and len(ids) == 1_000_000
 
 
 def test_replay_follows_ranks_that_fall_after_a_merge():
@@ -83,8 +107,8 @@ def test_store_returns_the_streams(spark, docs, rows, nothing, library, tmp_path
     assert ids == sorted(ids)
     whole = {r["start"]: r["ids"] for r in store.reconstruct(spark, path).collect()}
     assert {s: zlib.crc32(np.array(x, "<u4").tobytes()) for s, x in whole.items()} == {r["start"]: r["ids_crc32"] for r in got}
-    chunks = spark.read.parquet(f"{path}/parts/kind=1")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    chunks = spark.read.parquet(f"{path}/parts").where("kind = 1")
+    assert chunks.count() == chunks.select("key").distinct().count()
     assert store.stored_digest(nothing, LIBRARY, str(tmp_path / "empty")).count() == 0
 
 
@@ -92,12 +116,36 @@ def test_store_notices_a_changed_chunk():
     ids = np.arange(10, dtype="<u4")
     import pyarrow as pa
 
-    good = {"digest": [store.digest(ids.tobytes())], "width": [2], "n_ids": [10], "payload": [ids.astype("<u2").tobytes()]}
+    good = {"key": [store.digest(ids.tobytes())], "width": [2], "n_ids": [10], "payload": [ids.astype("<u2").tobytes()]}
     assert len(list(store._checked([pa.RecordBatch.from_pydict(good)]))) == 1
     with pytest.raises(ValueError, match="digest"):
         list(store._checked([pa.RecordBatch.from_pydict(good | {"payload": [bytes(20)]})]))
 
 
+def test_manifest_is_a_tree_over_recipes_in_order(spark, docs, tmp_path):
+    """Any change of a recipe, of its place or of a length is noticed before anything is returned."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    store.write_store(docs.where("doc_id < 30"), path, LIBRARY, average=16, longest=64)
+    kept = {r["bucket"]: r for r in spark.read.parquet(f"{path}/manifest").collect()}
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows = sorted(recipes.collect(), key=lambda r: (r["bucket"], r["row"]))
+    leaves = [store.digest(b"%d|%d|%d|" % (r["doc_id"], r["place"], r["n_tokens"]) + bytes(r["root"])) for r in rows]
+    level = leaves
+    while len(level) > 1:
+        level = [store.digest(b"\1" + level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert bytes(kept[0]["root"]) == level[0] and kept[0]["n_docs"] == len(rows) == kept[-1]["n_docs"]
+    swapped = F.concat(F.expr("substring(links, 1, length(links) - 8)"), F.expr("substring(links, length(links) - 3, 4)"), F.expr("substring(links, length(links) - 7, 4)"))
+    for name, changed in (("id", recipes.withColumn("doc_id", F.col("doc_id") + 1)), ("place", recipes.withColumn("place", F.col("place") + 1)), ("lengths", recipes.withColumn("links", swapped))):
+        other = str(tmp_path / name)
+        spark.read.parquet(f"{path}/parts").write.parquet(f"{other}/parts")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{other}/manifest")
+        changed.write.parquet(f"{other}/recipes")
+        with pytest.raises(Exception, match="match|too long"):
+            store.read_store(spark, other).collect()
+
+
 def test_chunks_follow_content_and_stop_at_document_ends():
     rng = np.random.default_rng(2)
     shared = rng.integers(0, 50_000, 3000).astype("<u4")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenweft.llm._common import mapped, stored, text_runs
-from tokenweft.llm.segments import library_encoder
+from tokenweft.llm.segments import ended, library_encoder
 
 
 def group_sizes(counts: np.ndarray, small: int, groups: int) -> list[list[int]]:
@@ -184,24 +184,23 @@ _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("star
 
 
 def _cut(path: str, end_id: int, capacity: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def run(batches):
         from pyspark import TaskContext
 
         encoder, seen, part = library_encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
             for batch in text_runs(whole):
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    data = encoder.encode(text) + end
-                    n = len(data) // 4
+                rows, at = [], 0
+                ids, counts = ended(*encoder.block(batch.column("text")), end_id)
+                data = ids.tobytes()
+                for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                     start, piece = 0, 0
                     while start < n:
                         length = (n - 1) % capacity + 1 if not piece else capacity
-                        rows.append((doc_id, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), part, int(seen[length])))
+                        rows.append((doc_id, piece, start, length, zlib.crc32(data[4 * (at + start) : 4 * (at + start + length)]), part, int(seen[length])))
                         seen[length] += 1
                         start, piece = start + length, piece + 1
+                    at += n
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECES_ARROW.types, strict=True)], schema=_PIECES_ARROW)
 

@@ -1,10 +1,11 @@
 """Operator 10: byte-level BPE by corpus-level merge replay, and decoding.
 
-All distinct pieces of a block of texts are laid out as one list of byte tokens. An inverted index maps each
-adjacent pair that can merge to its positions; a heap yields the pairs by rank; a merge touches the two
-neighbours of each position and nothing else. Within a word only its leftmost place of the pair is merged
-before the heap is asked again, since the new pair may have a lower rank: this is exactly the order in which
-a word-by-word encoder works, for all words at once. Pieces met before come from a bounded cache.
+All distinct new pieces of a batch of texts are laid out as one list of byte tokens. An inverted index maps the
+pairs that can merge, by rank and in blocks of SPAN ranks, to their positions. Blocks are applied in rank order; inside
+a block every word applies its lowest pair first, at all its places from the left (at the first only, where a pair that
+the merge makes may rank before it), and the pairs on the two sides of a merge are all that is looked up again. No word
+waits for another, so this is exactly the order in which a word-by-word encoder works, for all words at once. Pieces met
+before come from a bounded table.
 
 Cases: a null or empty text has no ids (the digests of the empty string); ids of rows with equal doc_id stay
 separate; an empty table gives an empty result; other columns are never read.
@@ -14,16 +15,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenweft.llm._common import held, mapped, text_runs
-from tokenweft.llm.segments import PATTERN, split
+from tokenweft.llm.segments import Segments, spread
+
+#: Ranks in a block of the inverted index.
+SPAN = 1024
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 class MergeReplay:
@@ -42,6 +50,10 @@ class MergeReplay:
         keys = np.array(sorted(pairs), np.int64)
         self.keys, self.merged = np.append(keys, np.int64(-1)), np.array([pairs[k] for k in keys.tolist()] + [-1], np.int64)
         self.keys[-1] = np.iinfo(np.int64).max
+        # of most tokens every further merge ranks behind the token itself; of the others one may come before
+        self.early = np.zeros(self.size, bool)
+        for part in (keys // self.size, keys % self.size):
+            self.early[part[self.merged[:-1] < part]] = True
         self.singles = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
 
     @classmethod
@@ -56,118 +68,126 @@ class MergeReplay:
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece. A piece that is a token is that token, whatever the merges would give."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(pieces)
-        todo = []
-        for i, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[i] = np.array([whole])
-            elif piece:
-                todo.append(i)
-        if todo:
-            for i, ids in zip(todo, self._replay([pieces[i] for i in todo]), strict=True):
-                out[i] = ids
-        return out
-
-    def _replay(self, pieces: list[bytes]) -> list[np.ndarray]:
-        sizes = np.array([len(p) for p in pieces])
+        """Ids of each piece."""
+        ids, lengths = self.encode_all(pieces)
+        return np.split(ids, np.cumsum(lengths)[:-1]) if pieces else []
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and the number of ids of each. A piece that is a token is that token, whatever the merges would give."""
+        whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
+        todo = np.flatnonzero(whole < 0)
+        ids, lengths = self._replay([pieces[i] for i in todo.tolist()])
+        out = (whole >= 0).astype(np.int64)
+        out[todo] = lengths
+        flat = np.empty(int(out.sum()), np.int64)
+        starts = np.cumsum(out) - out
+        known = whole >= 0
+        flat[starts[known]] = whole[known]
+        flat[spread(starts[todo], lengths)] = ids
+        return flat, out
+
+    def _replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.singles[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(ids)
+        if not n:
+            return ids, sizes
         word = np.append(np.repeat(np.arange(len(pieces)), sizes), -1)  # at n: no word, so no pair reaches over the end
         after, before = np.append(np.arange(1, n + 1), n), np.arange(-1, n)
         pair = np.full(n + 1, -1, np.int64)  # rank of the pair that begins at a position
         inside = word[:-2] == word[1:-1]
         pair[: n - 1][inside] = self.rank_of(ids[:-1][inside], ids[1:][inside])
-        index: dict[int, list[np.ndarray]] = {}
-        heap: list[int] = []
+        index: list[list[np.ndarray]] = [[] for _ in range(self.size // SPAN + 1)]
 
-        def add(places: np.ndarray, ranks: np.ndarray) -> None:
-            some = ranks >= 0
-            places, ranks = places[some], ranks[some]
+        def add(places: np.ndarray) -> None:
             if not len(places):
                 return
-            order = np.argsort(ranks, kind="stable")
-            places, ranks = places[order], ranks[order]
-            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            edges = [0, *cuts.tolist(), len(places)]
-            for r, a, b in zip(ranks[edges[:-1]].tolist(), edges, edges[1:], strict=False):
-                if r in index:
-                    index[r].append(places[a:b])
-                else:
-                    index[r] = [places[a:b]]
-                    heapq.heappush(heap, r)
-
-        add(np.arange(n), pair[:n])
-        while heap:
-            rank = heapq.heappop(heap)
-            places = np.unique(np.concatenate(index.pop(rank)))
-            places = places[pair[places] == rank]
-            if not len(places):
-                continue
-            words = word[places]
-            first = np.append(True, words[1:] != words[:-1])
-            if not first.all():  # later places in the same word wait until lower ranks are done
-                index[rank] = [places[~first]]
-                heapq.heappush(heap, rank)
-                places, words = places[first], words[first]
-            gone = after[places]
-            follow, prior = after[gone], before[places]
-            ids[places], ids[gone], pair[gone] = rank, -1, -1
-            after[places], before[follow] = follow, places
-            right = np.full(len(places), -1, np.int64)
-            near = word[follow] == words
-            right[near] = self.rank_of(np.full(near.sum(), rank), ids[follow[near]])
-            pair[places] = right
-            add(places, right)
-            near = (prior >= 0) & (word[prior] == words)
-            prior = prior[near]
-            left = self.rank_of(ids[prior], np.full(len(prior), rank))
-            pair[prior] = left
-            add(prior, left)
+            block = pair[places] // SPAN
+            order = np.argsort(block, kind="stable")
+            places, block = places[order], block[order]
+            edges = np.flatnonzero(np.diff(block, prepend=-2)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(places)], strict=True):
+                index[block[a]].append(places[a:b])
+
+        add(np.flatnonzero(pair >= 0))
+        for block in range(len(index)):
+            top = (block + 1) * SPAN
+            places = np.concatenate(index[block]) if index[block] else np.empty(0, np.int64)
+            index[block] = []
+            while len(places):
+                places = distinct(places)
+                ranks = pair[places]
+                live = (ranks >= 0) & (ranks < top)
+                places, ranks = places[live], ranks[live]
+                if not len(places):
+                    break
+                words = word[places]
+                edges = np.flatnonzero(np.diff(words, prepend=-1))
+                least = np.repeat(np.minimum.reduceat(ranks, edges), np.diff(np.append(edges, len(places))))
+                at = np.flatnonzero(ranks == least)  # in every word the places of its lowest pair
+                # of places that overlap each second one; all go at once unless a pair that a merge makes may rank before it
+                heads = np.append(True, words[at[1:]] != words[at[:-1]])
+                follows = np.append(False, after[places[at[:-1]]] == places[at[1:]])
+                first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+                at = at[heads | (~self.early[ranks[at]] & ((np.arange(len(at)) - first) % 2 == 0))]
+                waiting = np.ones(len(places), bool)
+                waiting[at] = False
+                waiting, places, ranks = places[waiting], places[at], ranks[at]
+                gone = after[places]
+                ids[places], ids[gone], pair[gone] = ranks, -1, -1
+                follow = after[gone]
+                after[places], before[follow] = follow, places
+                # after all merges of the round: the pairs on both sides of each
+                right = after[places]
+                near = word[right] == word[places]
+                pair[places] = -1
+                pair[places[near]] = self.rank_of(ids[places[near]], ids[right[near]])
+                prior = before[places]
+                prior = prior[(prior >= 0) & (word[prior] == word[places])]
+                pair[prior] = self.rank_of(ids[prior], ids[after[prior]])
+                touched = distinct(np.concatenate([places, prior]))
+                now = pair[touched]
+                add(touched[now >= top])
+                places = np.concatenate([waiting, touched[(now >= 0) & (now < top)]])
         live = ids >= 0
-        return np.split(ids[live], np.cumsum(np.bincount(word[:-1][live], minlength=len(pieces)))[:-1])
+        return ids[live], np.bincount(word[:-1][live], minlength=len(pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class ReplayEncoder:
-    """Encodes blocks of texts; keeps each known segment's ids as decimal text for the digests."""
+class ReplayEncoder(Segments):
+    """Encodes blocks of texts; all pieces that are new in a batch are replayed together."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 160_000_000):
         self.replay = MergeReplay.from_file(path)
-        self.pattern, self.most = regex.compile(PATTERN), most
-        self.cache: dict[str, bytes] = {}
-
-    def prepare(self, batch: pa.RecordBatch) -> None:
-        """Learn all segments of a batch at once: one replay over its distinct new pieces."""
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new: set[str] = set()
-        for part in text_runs(batch):
-            for text in part.column("text").to_pylist():
-                if text:
-                    new.update(s for s in split(text) if s not in self.cache)
-            if len(new) > self.most:  # texts with hardly a word twice: learn in turns
-                self.learn(new)
-                new = set()
-        self.learn(new)
-
-    def block(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its decimal ids, each with a comma behind it."""
-        parts = [split(t) if t else [] for t in texts]
-        self.learn({s for p in parts for s in p if s not in self.cache})
-        return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
-
-    def learn(self, segments: set[str]) -> None:
-        if not segments:
-            return
-        found = {s: [m.encode() for m in self.pattern.findall(s)] for s in segments}
-        pieces = list({m for ms in found.values() for m in ms})
-        coded = {p: b",".join(map(b"%d".__mod__, ids.tolist())) + b"," for p, ids in zip(pieces, self.replay.encode_pieces(pieces), strict=True)}
-        for s, ms in found.items():
-            self.cache[s] = b"".join(map(coded.__getitem__, ms))
+        super().__init__(most_bytes=most_bytes)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.replay.encode_all([p.encode() for p in pieces])
+
+    def batches(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Slices of a batch of texts with their ids and numbers of ids; the batch's new segments are learned at once."""
+        parts = list(text_runs(batch, limit=2_000_000))
+        cuts = [self.cut(p.column("text")) for p in parts]
+        self.learn_all(cuts)
+        for part, c in zip(parts, cuts, strict=True):
+            yield part, *self.gather(*c)
+
+
+class Strings:
+    """A byte string for each id, joined for many ids at once."""
+
+    def __init__(self, values: list[bytes]):
+        self.lengths = np.fromiter(map(len, values), np.int64, len(values))
+        self.starts, self.pool = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(values), np.uint8)
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """For each run of `counts` ids its joined strings."""
+        lengths = self.lengths[ids]
+        data = self.pool[spread(self.starts[ids], lengths)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)].tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _encoder(path: str) -> ReplayEncoder:
@@ -180,19 +200,13 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256
 def _digests(path: str):
     def run(batches):
         encoder = _encoder(path)
-        table = {b"%d" % r: t for r, t in encoder.replay.tokens.items()}
-        table[b""] = b""
+        tokens = encoder.replay.tokens
+        decimal, decoded = Strings([b"%d," % i for i in range(encoder.replay.size)]), Strings([tokens.get(i, b"") for i in range(encoder.replay.size)])
         for whole in batches:
-            encoder.prepare(whole)
-            for batch in text_runs(whole):
-                n, ids_sha, text_sha = [], [], []
-                for ids in encoder.block(batch.column("text").to_pylist()):
-                    ids = ids[:-1]
-                    numbers = ids.split(b",")
-                    n.append(len(numbers) if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, numbers))).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=_OUT)
+            for batch, ids, counts in encoder.batches(whole):
+                ids_sha = [hashlib.sha256(d[:-1]).hexdigest() for d in decimal.join(ids, counts)]
+                text_sha = [hashlib.sha256(d).hexdigest() for d in decoded.join(ids, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=_OUT)
 
     return run
 
@@ -212,9 +226,9 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(ranks_path)
         for whole in batches:
-            for batch in text_runs(whole):
-                ids = [[int(i) for i in b.split(b",")[:-1]] for b in encoder.block(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=_IDS)
+            for batch, ids, counts in encoder.batches(whole):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], schema=_IDS)
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
 

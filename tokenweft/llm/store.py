@@ -1,13 +1,15 @@
 """Operator 8: a content-addressed store of token-id streams.
 
 A rolling hash over the last WINDOW ids cuts every document's stream where its low bits are zero, so equal
-passages give equal chunks wherever they stand. Unique chunks are written once under their digest; a recipe
-for each document lists its chunk digests, its place in the whole stream and its Merkle root; a manifest for
-each recipe range holds the Merkle root of its documents. Reading checks every chunk against its digest and
-every recipe against its root before anything is returned.
+passages give equal chunks wherever they stand. Unique chunks are written once under their digest. A recipe for
+each document lists its chunk digests with their lengths and has their Merkle root. Recipes lie in ascending doc_id
+order in buckets, and a manifest has for each bucket its place in the whole stream and the Merkle root over its
+documents in order, each of which stands for its doc_id, place, length and recipe root; the bucket roots have a root too.
+Reading checks every chunk against its digest, every recipe against its root, every link's length against its chunk's,
+and all of it against the manifest before anything is returned.
 
-Layout below the store's folder: chunks/ (digest, width, n_ids, payload), recipes/ (ascending doc_id),
-manifest/. Ids are little-endian, two bytes wide where all ids of a chunk fit, else four.
+Layout below the store's folder: parts/ (chunks: digest, width, n_ids, payload; and recipes before they are placed),
+recipes/, manifest/. Ids are little-endian, two bytes wide where all ids of a chunk fit, else four.
 
 Cases: a null text is an empty one and still gets its end id; null doc_ids come first; equal doc_ids are kept
 as separate rows, ordered by content; an empty table gives empty files and an empty result; other columns of
@@ -23,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tokenweft.llm._common import bucket_of, mapped, ordered_buckets, shared_dir, stored, text_runs
-from tokenweft.llm.segments import library_encoder
+from tokenweft.llm._common import mapped, shared_dir, stored, text_runs
+from tokenweft.llm.segments import ended, library_encoder
 
 WINDOW = 8
 DIGEST = 16
+#: Documents in a bucket of recipes, and the most buckets; a bucket's digests (16 bytes a document) meet in one task.
+BUCKET_ROWS, MOST_BUCKETS = 4_000, 16_384
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -74,94 +77,112 @@ def unpack(width: int, payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{width}").astype("<u4")
 
 
-_PARTS = pa.schema([("kind", pa.int32()), ("route", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("width", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-_PARTS_SQL = "kind int, route long, doc_id long, digest binary, width int, n_ids long, payload binary"
+_PARTS = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("root", pa.binary()), ("width", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+_PARTS_SQL = "kind int, key binary, doc_id long, root binary, width int, n_ids long, payload binary"
 
 
 def _parts(path: str, end_id: int, average: int, longest: int):
-    """kind 0: a recipe (digest: Merkle root, payload: chunk digests and lengths); kind 1: a chunk not seen before in this task."""
-    end = int(end_id).to_bytes(4, "little")
+    """kind 0: a recipe (key: its place among the task's rows, payload: chunk digests, then lengths); kind 1: a chunk of a block (key: its digest)."""
 
     def run(batches):
-        encoder, seen = library_encoder(path), set()
+        from pyspark import TaskContext
+
+        encoder, part, at = library_encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in text_runs(whole):
-                streams = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
-                sizes = np.array([len(s) // 4 for s in streams], np.int64)
+                ids, sizes = ended(*encoder.block(batch.column("text")), end_id)
                 starts = np.cumsum(sizes) - sizes
-                data = b"".join(streams)
-                ids = np.frombuffer(data, "<u4")
+                data = ids.tobytes()
                 ends = cut_points(ids, starts, average, longest)
                 lengths = np.diff(ends, prepend=0)
                 digests = [digest(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                small = ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else b""
-                rows = []
-                for d, e, n in zip(digests, ends.tolist(), lengths.tolist(), strict=True):
-                    if d not in seen:
-                        seen.add(d)
-                        payload = small[2 * (e - n) : 2 * e] if small else data[4 * (e - n) : 4 * e]
-                        rows.append((1, int.from_bytes(d[:8], "little", signed=True), None, d, 2 if small else 4, n, payload))
+                width = 2 if int(ids.max()) < 1 << 16 else 4
+                stored_ids = ids.astype(f"<u{width}").tobytes()
+                once = {d: (e, n) for d, e, n in zip(digests, ends.tolist(), lengths.tolist(), strict=True)}
+                rows = [(1, d, None, None, width, n, stored_ids[width * (e - n) : width * e]) for d, (e, n) in once.items()]
                 links, last = lengths.astype("<u4"), 0
                 for doc_id, to, n in zip(batch.column("doc_id").to_pylist(), np.searchsorted(ends, starts + sizes, "right").tolist(), sizes.tolist(), strict=True):
                     own = digests[last:to]
-                    rows.append((0, doc_id or 0, doc_id, merkle(own), 0, n, b"".join(own) + links[last:to].tobytes()))
-                    last = to
+                    rows.append((0, b"%d:%d" % (part, at), doc_id, merkle(own), 0, n, b"".join(own) + links[last:to].tobytes()))
+                    last, at = to, at + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
 
     return run
 
 
-def _once(batches):
-    """One copy of each chunk; all copies of a digest are in the same partition."""
-    seen = set()
+_PLACED = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("links", pa.binary())])
+_PLACED_SQL = "bucket int, row long, doc_id long, place long, n_tokens long, root binary, links binary"
+
+
+def _place(batches):
+    """The recipes of a sorted partition, which is a bucket, with each one's number and place in it."""
+    from pyspark import TaskContext
+
+    bucket, row, place = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        keep = []
-        for kind, d in zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist(), strict=True):
-            keep.append(kind == 0 or d not in seen)
-            if kind:
-                seen.add(d)
-        yield batch.filter(pa.array(keep))
+        n = batch.column("n_tokens").to_numpy()
+        ends = place + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), bucket, np.int32)), pa.array(np.arange(row, row + len(n))), batch.column("doc_id"), pa.array(ends - n), *(batch.column(c) for c in ("n_tokens", "root", "links"))],
+            schema=_PLACED,
+        )
+        if len(n):
+            row, place = row + len(n), int(ends[-1])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, average: int = 512, longest: int = 8192) -> None:
-    """Encode every text (then end_id) and write chunks, recipes in ascending doc_id order, and manifests below path."""
+    """Encode every text (then end_id) and write chunks, recipes in ascending doc_id order, and the manifest below path."""
     spark = docs.sparkSession
     parts = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _parts(tokenizer_path, end_id, average, longest), _PARTS_SQL)
-    # salted by the digest itself: even a chunk that a third of all documents share comes once from each task at most
-    dealt = mapped(parts.repartition("route"), _once, _PARTS_SQL)
-    dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
-
-    rough = _read_parts(spark, path, 0).select("doc_id", F.col("digest").alias("root"), F.col("n_ids").alias("n_tokens"), F.col("payload").alias("links"))
-    bounds, _ = ordered_buckets(rough, "doc_id")
-    ranged = rough.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
-    sums = {r["bucket"]: r["n"] for r in ranged.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a bucket, at most 4096
-    first, total = {}, 0
-    for b in sorted(sums):
-        first[b] = total
-        total += sums[b]
-    offsets = spark.createDataFrame(sorted(first.items()) or [(0, 0)], "bucket int, first long")
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recipes = (
-        ranged.join(F.broadcast(offsets), "bucket")
-        .withColumn("start", F.col("first") + F.sum("n_tokens").over(w) - F.col("n_tokens"))
-        .select("bucket", "doc_id", "start", "n_tokens", "root", "links")
-    )
-    recipes.repartitionByRange("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
-
-
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """For each bucket: documents, ids, first place, and an order-free root: the xor of its documents' (root, start) hashes, in two words."""
-    key = F.concat_ws("|", F.hex("root"), F.col("start").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return recipes.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_ids"), F.min("start").alias("first"),
-        F.bit_xor(F.xxhash64(key)).alias("root_a"), F.bit_xor(F.xxhash64(F.lit("b"), key)).alias("root_b"),
-    )
+    # a chunk that a third of all documents share comes once from each block; recipes have keys of their own
+    parts.repartition("key").dropDuplicates(["key"]).write.option("compression", "zstd").parquet(f"{path}/parts")
+
+    rough = _read_parts(spark, path, 0).select("doc_id", "root", F.col("n_ids").alias("n_tokens"), F.col("payload").alias("links"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.xxhash64("links")]
+    buckets = min(MOST_BUCKETS, rough.count() // BUCKET_ROWS + 1)
+    # equal and null doc_ids are parted by their roots, so that no bucket is hot for them
+    dealt = rough.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+    mapped(dealt, _place, _PLACED_SQL).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    buckets = manifest_of(_recipes(spark, path))
+    spark.createDataFrame(buckets, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def _read_parts(spark: SparkSession, path: str, kind: int) -> DataFrame:
-    schema = "route long, doc_id long, digest binary, width int, n_ids long, payload binary, kind int"
-    return spark.read.schema(schema).parquet(f"{path}/parts").where(F.col("kind") == kind)
+    return spark.read.schema(_PARTS_SQL).parquet(f"{path}/parts").where(F.col("kind") == kind)
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_PLACED_SQL).parquet(f"{path}/recipes")
+
+
+_MANIFEST = "bucket int, n_docs long, n_ids long, first long, root binary"
+_LEAVES = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("leaf", pa.binary())])
+
+
+def _leaves(batches):
+    """What stands for a document in its bucket's tree: its id, place, length and recipe root."""
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "place", "n_tokens", "root"))
+        leaf = [digest(b"%s|%d|%d|" % (b"" if i is None else b"%d" % i, at, n) + root) for i, at, n, root in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "row", "n_tokens")), pa.array(leaf, pa.binary())], schema=_LEAVES)
+
+
+def _roots(batches):
+    for batch in batches:
+        roots = [merkle(list(x)) for x in batch.column("leaves").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "n_docs", "n_ids")), pa.array(roots, pa.binary())], names=["bucket", "n_docs", "n_ids", "root"])
+
+
+def manifest_of(recipes: DataFrame) -> list[tuple]:
+    """(bucket, n_docs, n_ids, first, root) in order, at most MOST_BUCKETS of them, and behind them one for the whole store as bucket -1."""
+    leaves = mapped(recipes.select("bucket", "row", "doc_id", "place", "n_tokens", "root"), _leaves, "bucket int, row long, n_tokens long, leaf binary")
+    grouped = leaves.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("row", "leaf"))).alias("leaves"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_ids"))
+    grouped = grouped.select("bucket", "n_docs", "n_ids", F.transform("leaves", lambda x: x["leaf"]).alias("leaves"))
+    out, first = [], 0
+    for r in sorted(mapped(grouped, _roots, "bucket int, n_docs long, n_ids long, root binary").collect()):
+        out.append((r["bucket"], r["n_docs"], r["n_ids"], first, bytes(r["root"])))
+        first += r["n_ids"]
+    return [*out, (-1, sum(r[1] for r in out), first, 0, merkle([digest(b"%d|%d|" % (r[0], r[3]) + r[4]) for r in out]))]
 
 
 _POLY = np.uint64(0xEDB88320)  # fixed value: the reflected polynomial of crc32
@@ -193,7 +214,7 @@ _CHECKED = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("crc", pa.int
 def _checked(batches):
     for batch in batches:
         out = []
-        for d, width, n, payload in zip(*(batch.column(c).to_pylist() for c in ("digest", "width", "n_ids", "payload")), strict=True):
+        for d, width, n, payload in zip(*(batch.column(c).to_pylist() for c in ("key", "width", "n_ids", "payload")), strict=True):
             data = unpack(width, payload).tobytes()
             if digest(data) != d or len(data) != 4 * n:
                 raise ValueError(f"chunk {d.hex()} does not match its digest")
@@ -202,68 +223,82 @@ def _checked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CHECKED.types, strict=True)], schema=_CHECKED)
 
 
-_LINKS = pa.schema([("row", pa.string()), ("digest", pa.binary()), ("n", pa.int64()), ("tail", pa.int64())])
+_LINKS = pa.schema([("bucket", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tail", pa.int64())])
+_LINKS_SQL = "bucket int, place long, doc_id long, digest binary, n long, tail long"
 
 
 def _links(batches):
-    """A row for each chunk of each recipe, after the recipe is checked against its Merkle root."""
+    """A row for each chunk of each recipe, after the recipe is checked against its Merkle root; tail: bytes of the document behind it."""
     for batch in batches:
-        rows, found, ns, tails = [], [], [], []
-        for bucket, doc_id, start, n_tokens, root, links in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "start", "n_tokens", "root", "links")), strict=True):
+        found, ns, counts = [], [], []
+        for doc_id, n_tokens, root, links in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "links")), strict=True):
             k = len(links) // (DIGEST + 4)
             digests = [links[i * DIGEST : (i + 1) * DIGEST] for i in range(k)]
-            lengths = np.frombuffer(links[k * DIGEST :], "<u4").astype(np.int64)
-            if merkle(digests) != root or lengths.sum() != n_tokens:
+            lengths = np.frombuffer(links, "<u4", k, k * DIGEST)
+            if merkle(digests) != root or int(lengths.sum()) != n_tokens:
                 raise ValueError(f"recipe of document {doc_id} does not match its root")
-            rows += [f"{start}:{doc_id}"] * k
             found += digests
             ns.append(lengths)
-            tails.append(4 * (n_tokens - np.cumsum(lengths)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(found, pa.binary()), pa.array(np.concatenate(ns)), pa.array(np.concatenate(tails))], schema=_LINKS)
+            counts.append(k)
+        if not found:
+            continue
+        n, at = np.concatenate(ns).astype(np.int64), np.repeat(np.arange(len(counts)), counts)
+        total = batch.column("n_tokens").to_numpy()
+        done = np.cumsum(n) - (np.cumsum(total) - total)[at]
+        taken = pa.array(at)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("bucket", "place", "doc_id")), pa.array(found, pa.binary()), pa.array(n), pa.array(4 * (total[at] - done))], schema=_LINKS)
 
 
-_SHIFTED = pa.schema([("row", pa.string()), ("n", pa.int64()), ("crc", pa.int64())])
+_SHIFTED = pa.schema([("bucket", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64())])
 
 
 def _shifted(batches):
     for batch in batches:
         crc = crc_shift(batch.column("crc").to_numpy(), batch.column("tail").to_numpy()).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(crc)], schema=_SHIFTED)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "place", "doc_id", "n")), pa.array(crc)], schema=_SHIFTED)
+
+
+def _verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(links of all recipes, first place of each bucket) after the recipes are checked against the manifest."""
+    recipes, kept = _recipes(spark, path), spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    if sorted((*r[:4], bytes(r["root"])) for r in kept.collect()) != sorted(manifest_of(recipes)):  # at most MOST_BUCKETS rows
+        raise ValueError("the recipes do not match the manifest")
+    return mapped(recipes, _links, _LINKS_SQL), kept.where("bucket >= 0").select("bucket", "first")
+
+
+def _joined(links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Links with their chunks (digest, size, ...); a missing chunk or one of another length stops the query."""
+    found = links.join(chunks, "digest", "left")
+    wrong = F.raise_error(F.concat(F.lit("a chunk is missing or too long for "), F.coalesce(F.col("doc_id").cast("string"), F.lit("a document")))).cast("long")
+    return found.withColumn("n", F.when(F.col("size") == F.col("n"), F.col("n")).otherwise(wrong))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: chunks, recipes and manifests are all checked.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: chunks, recipes and manifest are all checked.
 
     A document's crc32 is put together from its chunks' own, so payloads are read once, where they lie, and never shuffled.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
-    kept, now = spark.read.parquet(f"{path}/manifest"), _manifest(recipes)
-    if kept.exceptAll(now).count() or now.exceptAll(kept).count():
-        raise ValueError("the recipes do not match the manifests")
-    chunks = mapped(_read_parts(spark, path, 1).select("digest", "width", "n_ids", "payload"), _checked, "digest binary, n long, crc long")
-    links = mapped(recipes, _links, "row string, digest binary, n long, tail long")
-    joined = links.join(chunks.select("digest", "crc"), "digest", "left").select("row", "n", "crc", "tail")
-    missing = F.raise_error(F.concat(F.lit("a chunk is missing for "), F.col("row"))).cast("long")
-    joined = joined.withColumn("crc", F.coalesce(F.col("crc"), missing))
-    docs = mapped(joined, _shifted, "row string, n long, crc long").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
-    at = F.split("row", ":", 2)
-    return docs.select(F.when(at[1] != "None", at[1].cast("long")).alias("doc_id"), at[0].cast("long").alias("start"), "n_tokens", "ids_crc32")
+    links, firsts = _verified(spark, path)
+    chunks = mapped(_read_parts(spark, path, 1).select("key", "width", "n_ids", "payload"), _checked, "digest binary, size long, crc long")
+    joined = _joined(links, chunks).select("bucket", "place", "doc_id", "n", "tail", "crc")
+    shifted = mapped(joined, _shifted, "bucket int, place long, doc_id long, n long, crc long")
+    docs = shifted.groupBy("bucket", "place", "doc_id").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    return docs.join(F.broadcast(firsts), "bucket").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids: the whole id streams back from recipes and chunks (chunks travel once for each use)."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = _read_parts(spark, path, 1).select("digest", "width", "payload")
-    links = mapped(recipes, _links, "row string, digest binary, n long, tail long")
-
-    def join(pdf):
-        parts = pdf.sort_values("tail", ascending=False)
-        start, _, doc = parts["row"].iloc[0].partition(":")
-        ids = np.concatenate([unpack(w, p) for w, p in zip(parts["width"], parts["payload"], strict=True)]).astype(np.int64)
-        return type(pdf)({"doc_id": [None if doc == "None" else int(doc)], "start": [int(start)], "ids": [ids.tolist()]})
-
-    return links.join(chunks, "digest").groupBy("row").applyInPandas(join, "doc_id long, start long, ids array<long>")
+    """doc_id, start, ids: the whole id streams back from recipes and chunks. Payloads travel to their documents, once for each use."""
+    links, firsts = _verified(spark, path)
+    chunks = _read_parts(spark, path, 1).select(F.col("key").alias("digest"), F.col("n_ids").alias("size"), "width", "payload")
+    whole = _joined(links, chunks).groupBy("bucket", "place", "doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("tail")).alias("at"), "width", "payload"))).alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            ids = [np.concatenate([unpack(p["width"], p["payload"]) for p in parts]).tolist() for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "place", "doc_id")), pa.array(ids, pa.list_(pa.int64()))], names=["bucket", "place", "doc_id", "ids"])
+
+    found = mapped(whole, run, "bucket int, place long, doc_id long, ids array<long>")
+    return found.join(F.broadcast(firsts), "bucket").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "ids")
 
 
 def stored_digest(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:

@@ -133,12 +133,34 @@ def test_splits_of_runs_use_their_own_coordinates():
     assert used == [0] * runs + [1] * (128 - runs)
 
 
-def test_keep_one(spark, docs, rows):
-    kept = near_join.keep_one(docs, near_join.near_join(docs))
+def test_keep_one(spark, docs, rows, nothing):
+    kept = near_join.keep_one(docs, near_join.classes(docs))
     assert kept.columns == docs.columns
-    ids = {r["doc_id"] for r in kept.collect()}
-    want = {i for i, c, *_ in classes_by_hand(rows) if i == c}
-    assert ids - {None} == want - {None}
+    groups = {}
+    for (i, text, _), (_, c, _, _, size) in zip(rows, classes_by_hand(rows), strict=True):
+        groups.setdefault((c, size), []).append((i, text))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == len(groups) == len(near_join.classes(docs).select("root").distinct().collect())
+    assert sorted(i for i, _ in got if i is not None) == sorted(c for c, _ in groups if c is not None)
+    assert near_join.keep_one(nothing, near_join.classes(nothing)).count() == 0
+
+
+def test_keep_one_where_an_id_is_in_two_classes(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a, 1), (7, a, 2), (3, b, 3), (5, b, 4), (None, "alone without an id here", 5), (None, a, 6), (9, "twice the same row", 7), (9, "twice the same row", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(3)
+    got = near_join.keep_one(df, near_join.classes(df)).collect()
+    assert sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"]) for r in got) == [(-1, rows[4][1]), (3, b), (5, a), (9, rows[6][1])]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """A hub goes another way than other nodes; the roots are the same."""
+    import importlib
+
+    monkeypatch.setattr(importlib.import_module("tokenweft.llm.components"), "HUBS", 3)
+    edges = [(0 if i % 2 else 5000, i + 10) for i in range(4000)] + [(17, 18), (9001, 9002)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: (9001 if x > 9000 else 0) for e in edges for x in e}
 
 
 def test_components(spark):

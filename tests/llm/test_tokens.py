@@ -1,6 +1,7 @@
 """Packing, the store and merge replay against the libraries themselves."""
 
 import base64
+import bisect
 import hashlib
 import zlib
 
@@ -200,6 +201,20 @@ def test_packing(docs, rows, nothing, library):
     assert packing.pack(nothing, LIBRARY).count() == 0
 
 
+def best_fit(sizes, capacity):
+    """Sequences of best-fit decreasing, piece by piece."""
+    rooms, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(rooms, size)
+        if at == len(rooms):
+            room, n = capacity, n + 1
+        else:
+            room = rooms.pop(at)
+        if room > size:
+            bisect.insort(rooms, room - size)
+    return n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 400)), max_size=25))
 def test_plans_place_every_piece_once(pieces):
@@ -221,4 +236,10 @@ def test_plans_place_every_piece_once(pieces):
         for first, number in sorted(s):
             assert first == at
             at += number
-    assert sequences <= 1.25 * np.dot(counts, np.arange(65)) / 64 + (counts[33:].sum()) + 2
+    assert sequences <= best_fit(np.repeat(np.arange(65), counts).tolist(), 64)
+
+
+def test_plans_are_no_longer_than_best_fit():
+    rng = np.random.default_rng(4)
+    for sizes in (rng.integers(1, 2049, 4000), rng.integers(600, 1100, 4000), np.minimum(2048, rng.lognormal(6, 1, 4000).astype(int) + 1)):
+        assert packing.plan(np.bincount(sizes, minlength=2049))[1] <= best_fit(sizes.tolist(), 2048)

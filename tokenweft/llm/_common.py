@@ -36,9 +36,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only where none is set on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tokenweft-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tokenweft-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds on a table of links.
 
 Nothing about the links or components goes to the driver but whether they are stars yet; every round
-is written to the shared folder, so lost executors cost one round at most and lineage stays short. Hubs are
-safe: minima are pre-aggregated, and the joins back are split where a key is large.
+is written to the shared folder, so lost executors cost one round at most and lineage stays short. Minima are
+pre-aggregated. A node with more than 1/HUBS of all links is a hub: there are fewer than HUBS of them at any size, so their
+minima are broadcast, and no key of the shuffled join has more rows than that.
 """
 
 from __future__ import annotations
@@ -20,6 +21,18 @@ def are_stars(edges: DataFrame) -> bool:
     return seen.where("child > 1 or (child > 0 and root > 0)").isEmpty()
 
 
+HUBS = 500
+
+
+def with_least(edges: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): m is the least v of each u."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    many = F.col("n") > max(1000, total // HUBS)
+    marked = edges.join(F.broadcast(least.where(many).select("u", F.col("m").alias("hub"))), "u", "left")
+    others = marked.where("hub is null").join(least.where(~many).select("u", "m"), "u").select("u", "v", "m")
+    return others.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of `links` (a, b: long): root is the least node of its component. Nulls and loops are dropped."""
     edges = links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -28,11 +41,10 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if are_stars(edges):
             break
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        total = 2 * edges.count()
+        large = with_least(both, total).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = with_least(stored(large), total)
+        small = low.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

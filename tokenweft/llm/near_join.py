@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenweft.llm._common import mapped, stored, text_runs
@@ -92,7 +92,7 @@ def embed(found: np.ndarray) -> np.ndarray:
     return least
 
 
-_SETS = "row long, doc_id long, key_a long, key_b long, n int, tops binary, sig binary"
+_SETS = "row long, doc_id long, h long, key_a long, key_b long, n int, tops binary, sig binary"
 
 
 def _sets(width: int, runs: int):
@@ -103,13 +103,13 @@ def _sets(width: int, runs: int):
         for whole in batches:
             for batch in text_runs(whole):
                 out = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     found = shingles(text, width)
                     least = embed(found)
-                    out.append((row, doc_id, *set_key(found), len(found), least[:runs].tobytes(), (least >> np.uint64(17)).astype("<u2").tobytes()))
+                    out.append((row, doc_id, h, *set_key(found), len(found), least[:runs].tobytes(), (least >> np.uint64(17)).astype("<u2").tobytes()))
                     row += 1
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["row", "doc_id", "key_a", "key_b", "n", "tops", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["row", "doc_id", "h", "key_a", "key_b", "n", "tops", "sig"])
 
     return run
 
@@ -351,9 +351,18 @@ def exact_links(docs: DataFrame, members: DataFrame, width: int, threshold: floa
     return mapped(dealt, _exact(threshold), "rep long, links long, root long")
 
 
+def text_hash(text: Column | str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    return classes(docs, width, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies", "class_size")
+
+
+def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of near_join with h, a hash of the text, and root, a number that is the class's own even where no id is known."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(mapped(rows, _sets(width, n_runs(threshold, recall)), _SETS))
+    sets = stored(mapped(rows.withColumn("h", text_hash("text")), _sets(width, n_runs(threshold, recall)), _SETS))
     key = ["key_a", "key_b"]
     reps = sets.groupBy(*key).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("least"))
     reps = stored(reps)
@@ -365,15 +374,30 @@ def near_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
     members = members.select(F.col("node").alias("rep"), "doc_id", *key, F.col("root").alias("component"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     exact = stored(exact_links(rows, stored(members), width, threshold))
     links = exact.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = components(exact.where("links > 0").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = reps.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    joined = components(exact.where("links > 0").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    named = reps.join(links, "rep", "left").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
     named = stored(named.withColumn("root", F.coalesce("root", "rep")))
     ids = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n_copies").alias("class_size"))
-    known = named.join(ids, "root").select(*key, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "class_size")
-    return sets.select("doc_id", *key).join(known, key).select("doc_id", "class_id", "n_links", "n_copies", "class_size")
-
-
-def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The documents that carry the least doc_id of their class. Rows that share this id, and rows without an id, all stay."""
-    going = joined.where("doc_id is not null and doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(going, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    known = named.join(ids, "root").select(*key, "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "class_size")
+    return sets.select("doc_id", "h", *key).join(known, key).select("doc_id", "class_id", "n_links", "n_copies", "class_size", "h", "root")
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each class of found = classes(docs): of the least doc_id (a row without an id only where the class has none),
+    and of rows that share this id that of the least hash of the text; of rows equal in both one stays, whichever comes first.
+
+    What goes is found by (doc_id, hash), so that a row whose id stands in another class too keeps its own class's decision.
+    """
+    rows = stored(found.select("root", "doc_id", "h"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("b"), F.count(F.lit(1)).alias("n"))
+    marked = rows.join(least.where("n > 1"), "root")  # a class of one row loses nothing
+    best = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("h") == F.col("b.h"))
+    going = marked.where(~best).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    again = stored(marked.where(best).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    same = lambda df: docs["doc_id"].cast("long").eqNullSafe(df["_id"]) & (text_hash(docs["text"].cast("string")) == df["_h"])
+    kept = docs.join(going, same(going), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = docs.join(again, same(again), "left_semi").withColumn("_k", text_hash(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_k"]).drop("_k")
+    both = stored(going.unionByName(again.select("_id", "_h")))
+    return docs.join(both, same(both), "left_anti").unionByName(once)

@@ -102,6 +102,11 @@ def configurations(sizes: list[int], counts: list[int], room: int, rounds: int =
 
 
 def plan(counts: np.ndarray, capacity: int = 2048, small: int = 256, groups: int = 64) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The shorter of two plans: that of linear grouping, and best fit alone, which some histograms suit better (all lengths over `small` grouped into none)."""
+    return min((_plan(counts, capacity, s, groups) for s in (small, capacity)), key=lambda found: found[1])
+
+
+def _plan(counts: np.ndarray, capacity: int, small: int, groups: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, count, first sequence, offset) over the histogram counts[length], and the number of sequences."""
     left = np.array(counts, np.int64)
     taken = np.zeros(len(left), np.int64)

@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: quality rules, quality classifier, near duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+
+Cases: null and empty texts fail the base rules of the first stage; rows that share a doc_id are judged by their own texts; an empty
+table, or one of which a stage leaves nothing, gives an empty result; further columns of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the document with the least doc_id of each class stays."""
-    return near_join.keep_one(docs, near_join.near_join(docs))
+    return near_join.keep_one(docs, near_join.classes(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

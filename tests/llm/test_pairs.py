@@ -4,10 +4,12 @@ import hashlib
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tokenweft.llm import near_join, order_minhash, tool_calls
 from tokenweft.llm.components import components
@@ -221,6 +223,81 @@ def test_fingerprint_is_its_own_edit(spark):
     assert np.mean([got[i]["near_edited"] > got[i]["near_next"] for i in got]) > 0.5
 
 
+def hash64(values, seed=42):
+    """The engine's hash of several values, by the public algorithm: each value's bytes, seeded by the hash so far."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.to_bytes(4, "little", signed=True) if abs(v) < 1 << 20 else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def fingerprint_by_hand(text):
+    """Every selection looks at all k-mers."""
+    dense = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+    tokens = []
+    for run in re.findall(f"[{dense}]|[^ \t\n\x0b\f\r{dense}]+", text):  # of a run over 24 its last 24 characters are one token
+        tokens += [run] if len(run) <= 24 else [*run[:-24], run[-24:]]
+    kmers = [hash64(tokens[i : i + 2]) for i in range(max(len(tokens) - 1, min(len(tokens), 1)))]
+    if not kmers:
+        return "-" * 256
+    low, points, seen = (1 << len(kmers).bit_length()) - 1, [], {}
+    for i, h in enumerate(kmers):
+        points.append(hash64([h, seen.get(h, 0)]) & ~low | i)
+        seen[h] = seen.get(h, 0) + 1
+    out = []
+    for turn in order_minhash.POINTS:
+        chosen = sorted(sorted(range(len(kmers)), key=lambda i: (points[i] - turn) % (1 << 64))[:2])
+        out.append(f"{hash64([len(chosen), *(kmers[i] for i in chosen)]) & 0xFFFFFFFF:08x}")
+    return "".join(out)
+
+
+def test_order_minhash_by_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["", " \n ", "one", "one two", "a b a b a b a b a b c", "x" * 24, "x" * 25, "x" * 80 + " y", "中文字文字 mixed 中文", "ภาษาไทย ok", " lead and\ttrail \r\n"]
+    texts += [" ".join(rng.choices(["ab", "cd", "ef", "ghé"], k=rng.randint(1, 90))) for _ in range(25)]
+    texts += ["".join(rng.choice("的一是不了人我在有他") for _ in range(rng.randint(1, 60))) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in order_minhash.fingerprints(df).collect()}
+    for i, t in enumerate(texts):
+        following = texts[i - 1]
+        cut = len(t) // 3
+        want, edit, behind = fingerprint_by_hand(t), fingerprint_by_hand(t[: len(t) - cut] + following[:cut]), fingerprint_by_hand(following)
+        assert got[i]["fingerprint"] == want and got[i]["edited_fingerprint"] == edit, t
+        for name, other in (("near_edited", edit), ("near_next", behind)):
+            parts = [(want[j : j + 8], other[j : j + 8]) for j in range(0, 256, 8)]
+            some = [p for p in parts if set(p) != {"--------"}]
+            assert got[i][name] == pytest.approx(sum(a == b for a, b in some) / len(some) if some else 1.0), t
+
+
+def test_texts_without_blanks_follow_their_edits(spark):
+    rng = random.Random(2)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600))
+    run = "".join(rng.choice("abcdefgh") for _ in range(600))
+    for text in (han, run):
+        near = []
+        for edits in (1, 20, 200):
+            other = list(text)
+            for i in rng.sample(range(600), edits):
+                other[i] = "異" if text is han else "z"
+            other.insert(5, "字" if text is han else "y")
+            df = spark.createDataFrame([(1, "".join(other)), (2, text)], "doc_id long, text string")
+            near.append(order_minhash.fingerprints(df).where("doc_id = 2").first()["near_next"])
+        assert near[0] > 0.85 and near[0] > near[1] > near[2] and near[2] < 0.5
+
+
+def test_hot_ids_are_dealt_by_hash_in_order(spark, monkeypatch):
+    """Rows without an id and rows of one id go to many buckets, and the next document is the same."""
+    rows = [(None if i % 3 else (7 if i % 2 else i), f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = order_minhash.with_next(order_minhash.bucket_and_place(df, rows_per_bucket=20), ["text"]).collect()
+    order = sorted(placed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), hash64([r["text"]])))
+    assert [r["next_text"] for r in order] == [r["text"] for r in [*order[1:], order[0]]]
+    sizes = {}
+    for r in placed:
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+    assert max(sizes.values()) < 60
+
+
 def test_order_matters(spark):
     words = [f"word{i}" for i in range(400)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[200:] + words[:200]))], "doc_id long, text string")

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from test_pairs import classes_by_hand, fringe_rows
 from tokenweft.llm import classifier, near_join, packing, quality_rules
-from tokenweft.llm._common import bucket_of, hash_sample, ordered_buckets, read
+from tokenweft.llm._common import bucket_of, hash_sample, quantiles, read
 from tokenweft.llm.queries import vocabulary
 
 
@@ -38,7 +38,9 @@ def test_near_stage_against_brute_force(spark, monkeypatch):
 
 def test_buckets_are_ordered(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
-    bounds, n = ordered_buckets(df, "k", rows_per_bucket=20)
+    bounds, heavy = quantiles(df, "k", 20, 4096)
+    n = df.count()
+    assert len(bounds) > 20 and not heavy and quantiles(df.withColumn("k", df["k"] % 2), "k", 20, 4096)[1] == [0, 1]
     got = df.withColumn("b", bucket_of(df["k"], bounds)).collect()
     assert n == len(got) and all(r["b"] == sum(x < r["k"] for x in bounds) for r in got)
 

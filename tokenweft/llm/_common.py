@@ -124,18 +124,18 @@ def text_runs(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_00
         yield batch.slice(a, b - a)
 
 
-def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = 10_000, most: int = 4096) -> tuple[list, int]:
-    """Boundaries that deal the values of an integer column into ordered buckets of similar size.
+def quantiles(df: DataFrame, key: str, rows_per_bucket: int, most: int) -> tuple[list, list]:
+    """(bounds that deal the values of an integer column into ordered buckets of similar size, values that fill a bucket alone).
 
-    Returns (bounds, rows): bounds has at most `most` literals, so what the driver holds does not grow with the rows.
+    Both have at most `most` entries, so what the driver holds does not grow with the rows.
     """
     n = df.count()
     k = min(most, max(1, n // rows_per_bucket))
     if k == 1:
-        return [], n
+        return [], []
     probabilities = [i / k for i in range(1, k)]
-    found = df.agg(F.percentile_approx(key, probabilities, max(10_000, 20 * k)).alias("b")).first()["b"] or []
-    return sorted(set(found)), n
+    found = df.agg(F.percentile_approx(key, probabilities, max(10_000, 10 * k)).alias("b")).first()["b"] or []
+    return sorted(set(found)), sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
 
 
 def bucket_of(key: Column, bounds: list) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweft.functions.quantize import check_bits, dequantize, pack, quantize, ratio, unpack
-from tokenweft.functions.vectors import dot, minus, plus
+from tokenweft.functions.vectors import minus, plus
+from tokenweft.operators.kernel import best_by_token, nest
 from tokenweft.operators.kmeans import assign, train
 from tokenweft.session import small
+from tokenweft.sources.tables import load_snapshot, save_snapshot
 
 CENTROIDS, BITS, ITERATIONS = 2048, 8, 20
 
@@ -40,8 +42,19 @@ def decompress(compressed: DataFrame, codebook: DataFrame, bits: int = BITS) ->
 def approximate_similarity(queries: DataFrame, compressed: DataFrame, codebook: DataFrame, bits: int = BITS) -> DataFrame:
     """(query_id, doc_id, q_pos, best): each query token's best product with the document's decompressed tokens."""
     tokens = decompress(compressed, codebook, bits)
-    q = small(queries.select("query_id", "q_pos", F.col("embedding").alias("_q")))
-    return tokens.crossJoin(q).groupBy("query_id", "doc_id", "q_pos").agg(F.max(dot("_q", "embedding")).alias("best"))
+    return best_by_token(nest(tokens), queries).select("query_id", "doc_id", "q_pos", "best")
+
+
+def save_codebook(codebook: DataFrame, path: str, bits: int = BITS) -> None:
+    save_snapshot({"codebook": codebook.select("centroid_id", "vector")}, {"kind": "codebook", "bits": check_bits(bits)}, path)
+
+
+def load_codebook(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(codebook, bits) as they were saved; anything else that is saved there is refused."""
+    tables, about = load_snapshot(spark, path)
+    if about.get("kind") != "codebook":
+        raise ValueError(f"{path} holds no codebook")
+    return tables["codebook"], about["bits"]
 
 
 def compression_ratio(dim: int, bits: int) -> float:

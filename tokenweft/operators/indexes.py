@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenweft.functions.vectors import dot, squared_distance
 from tokenweft.operators import compression
-from tokenweft.operators.kernel import max_sim, nest, top
+from tokenweft.operators.kernel import max_sim_pairs, nearest, nest, top
 from tokenweft.operators.kmeans import assign, train
-from tokenweft.session import small
+from tokenweft.session import cut, small
 from tokenweft.sources.tables import load_snapshot, save_snapshot
 
 DIGITS = 9
@@ -40,10 +39,8 @@ def ids_frame(like: DataFrame, ids: DataFrame | list) -> DataFrame:
 
 
 def nearest_tokens(tokens: DataFrame, queries: DataFrame, k: int, space: str = "cosine") -> DataFrame:
-    """(query_id, q_pos, weight, doc_id, tok_pos, near): the k nearest tokens of each query token, all if there are fewer."""
-    q = small(queries.select("query_id", "q_pos", "weight", F.col("embedding").alias("_q")))
-    measure = dot("_q", "embedding") if space == "cosine" else -squared_distance("_q", "embedding")
-    near = tokens.crossJoin(q).select("query_id", "q_pos", "weight", "doc_id", "tok_pos", F.round(measure, DIGITS).alias("near"))
+    """(query_id, q_pos, weight, doc_id, tok_pos, near): the k nearest tokens of each query token, all if there are fewer; the kernel keeps k of each batch."""
+    near = nearest(tokens, queries, k, space, DIGITS)
     w = Window.partitionBy("query_id", "q_pos").orderBy(F.col("near").desc(), "doc_id", "tok_pos")
     return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
@@ -109,16 +106,15 @@ class FlatIndex:
 
 def rescored(tokens: DataFrame, queries: DataFrame, pairs: DataFrame, top_k: int | None) -> DataFrame:
     """The exact score of candidate (query_id, doc_id) pairs, ranked; only documents that are candidates are read further."""
-    wanted = pairs.select("query_id", "doc_id").distinct()
+    wanted = cut(pairs.select("query_id", "doc_id").distinct())
     docs = tokens.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return top(max_sim(nest(docs), queries).join(wanted, ["query_id", "doc_id"], "left_semi"), top_k)
+    return top(max_sim_pairs(wanted, nest(docs), queries), top_k)
 
 
 def probed(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
     """(query_id, centroid_id): the nprobe centroids nearest to any token of a query."""
-    near = queries.select("query_id", "q_pos", F.col("embedding").alias("_q")).crossJoin(small(centroids))
-    w = Window.partitionBy("query_id", "q_pos").orderBy(F.round(dot("_q", "vector"), DIGITS).desc(), "centroid_id")
-    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= nprobe).select("query_id", "centroid_id").distinct()
+    points = centroids.select(F.col("centroid_id").cast("long").alias("doc_id"), F.lit(0).alias("tok_pos"), F.col("vector").alias("embedding"))
+    return nearest_tokens(points, queries, nprobe).select("query_id", F.col("doc_id").cast("int").alias("centroid_id")).distinct()
 
 
 def postings_of(tokens: DataFrame, centroids: DataFrame) -> DataFrame:

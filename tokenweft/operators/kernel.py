@@ -1,11 +1,14 @@
-"""The dense MaxSim kernel: Arrow batches of nested documents against a bounded set of queries, with a partial top-k.
+"""The dense MaxSim kernel: Arrow batches of nested documents against blocks of queries, with a partial top-k.
 
-Documents are nested (one row each), so scoring shuffles nothing. With a top_k every batch gives at most top_k rows a
-query; only those meet in the final window, so what is shuffled grows with batches and not with queries times documents.
+Documents are nested (one row each), so scoring shuffles nothing. The queries are written once and read in blocks of about
+QUERY_TOKENS tokens; the driver holds one block at a time. With a top_k every batch gives at most top_k rows a query, so
+what is shuffled afterwards grows with batches and not with queries times documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query tokens for one pass; larger sets are scored in several passes over the documents.
+from tokenweft.session import attach, cut
+
+#: Query tokens in a block.
 QUERY_TOKENS = 50_000
 
 
@@ -23,71 +28,206 @@ def nest(tokens: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.transform("rows", lambda r: r["embedding"]).alias("embeddings"))
 
 
-def query_arrays(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of at most QUERY_TOKENS tokens: (query ids, first token of each, weights, vectors)."""
-    rows = queries.select("query_id", "q_pos", F.coalesce("weight", F.lit(1.0)).alias("w"), "embedding").orderBy("query_id", "q_pos").toLocalIterator(prefetchPartitions=True)
-    parts, ids, starts, weights, vectors = [], [], [], [], []
-    for r in rows:
-        if not ids or r["query_id"] != ids[-1]:
-            if len(vectors) >= QUERY_TOKENS:
-                parts.append((ids, starts, weights, vectors))
-                ids, starts, weights, vectors = [], [], [], []
-            ids.append(r["query_id"])
-            starts.append(len(vectors))
-        weights.append(r["w"])
-        vectors.append(r["embedding"])
-    if ids:
-        parts.append((ids, starts, weights, vectors))
-    return [tuple(np.array(x) for x in p) for p in parts]
-
-
-def _score(part, top_k: int | None, id_type: pa.DataType, digits: int):
-    ids, starts, weights, vectors = part
-    vectors = vectors.astype(np.float64)
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("embeddings")
-            counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(int)
-            some = np.flatnonzero(counts)
-            if not len(some):
+def matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of a list array as a matrix in double precision."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
+
+
+class Queries:
+    """Queries in one block: ids, first token of each, and for each token its position, weight and vector."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("query_id", "ascending"), ("q_pos", "ascending")]).combine_chunks()
+        owner = table.column("query_id").to_numpy()
+        self.ids, self.starts = np.unique(owner, return_index=True)
+        self.owner, self.positions = owner, table.column("q_pos").to_numpy()
+        self.weights = table.column("weight").to_numpy()
+        vectors = table.column("embedding")
+        self.vectors = matrix(vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) and vectors.num_chunks else vectors.combine_chunks())
+
+
+def query_rows(queries: DataFrame) -> DataFrame:
+    return queries.select(
+        F.col("query_id").cast("long").alias("query_id"), F.col("q_pos").cast("long").alias("q_pos"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
+    )
+
+
+def against(docs: DataFrame, queries: DataFrame, score: Callable[[Queries, pa.RecordBatch], pa.RecordBatch], schema: str, most: int | None = None) -> DataFrame:
+    """score(queries, batch of docs) for every block of queries and every batch of docs; the tokens of a query are in one block.
+
+    One block is one pass that joins the plan. Of several, each pass is written before the next block is read. With `most`, a batch
+    is sliced so that its rows times the block's tokens stay below it.
+    """
+    spark = docs.sparkSession
+    attach(spark)
+    rows = cut(query_rows(queries))
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    blocks = -(-n // QUERY_TOKENS)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    docs, found = cut(docs) if blocks > 1 else docs, None
+    for i in range(blocks):
+        part = (rows.where(block == i) if blocks > 1 else rows).toArrow()  # about QUERY_TOKENS rows
+        if not part.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            mine = Queries(shared.value)
+            step = 1 << 31 if most is None else max(1, most // len(mine.vectors))
+            for whole in batches:
+                for s in range(0, whole.num_rows, step):
+                    yield score(mine, whole.slice(s, step))
+
+        got = docs.mapInArrow(run, schema)
+        if blocks > 1:
+            got = cut(got)
+            shared.unpersist()
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def _kind(docs: DataFrame) -> tuple[pa.DataType, str]:
+    return (pa.string(), "string") if docs.schema["doc_id"].dataType.simpleString() == "string" else (pa.int64(), "long")
+
+
+def order_of(names: pa.Array) -> np.ndarray:
+    """The place of each name among the sorted ones."""
+    order = pc.array_sort_indices(names).to_numpy()
+    out = np.empty(len(order), int)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def _scored(q: Queries, batch: pa.RecordBatch, top_k: int | None, id_type: pa.DataType, digits: int) -> pa.RecordBatch:
+    lists = batch.column("embeddings")
+    counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+    some = np.flatnonzero(counts)
+    names = batch.column("doc_id").take(pa.array(some)).cast(id_type)
+    if not len(some):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), names, pa.array([], pa.float64())], names=["query_id", "doc_id", "score"])
+    flat = matrix((lists if len(some) == len(counts) else lists.filter(pa.array(counts > 0))).flatten())
+    first = np.cumsum(counts[some]) - counts[some]
+    best = np.empty((len(q.vectors), len(some)))
+    for s in range(0, len(q.vectors), 512):  # a bounded block of query tokens at a time
+        best[s : s + 512] = np.maximum.reduceat(q.vectors[s : s + 512] @ flat.T, first, axis=1)
+    scores = np.add.reduceat(best * q.weights[:, None], q.starts, axis=0)
+    if top_k is not None and len(some) > top_k:
+        rounded, by_name = np.round(scores, digits), order_of(names)
+        at = np.array([np.lexsort((by_name, -r))[:top_k] for r in rounded])
+        ids, d, values = np.repeat(q.ids, top_k), at.ravel(), np.take_along_axis(scores, at, 1).ravel()
+    else:
+        ids, d, values = np.repeat(q.ids, len(some)), np.tile(np.arange(len(some)), len(q.ids)), scores.ravel()
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), names.take(pa.array(d)), pa.array(values)], names=["query_id", "doc_id", "score"])
+
+
+def max_sim(docs: DataFrame, queries: DataFrame, top_k: int | None = None, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score) of every query and nested document, or a superset of each query's top_k of them."""
+    id_type, name = _kind(docs)
+    return against(docs.select("doc_id", "embeddings"), queries, lambda q, b: _scored(q, b, top_k, id_type, digits), f"query_id long, doc_id {name}, score double")
+
+
+def best_by_token(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, q_pos, doc_id, best): each query token's best product in each nested document."""
+    id_type, name = _kind(docs)
+
+    def score(q: Queries, batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = matrix(batch.column("embeddings").flatten())
+        counts = pc.list_value_length(batch.column("embeddings")).to_numpy(zero_copy_only=False).astype(int)
+        best = np.concatenate([np.maximum.reduceat(q.vectors[s : s + 512] @ flat.T, np.cumsum(counts) - counts, axis=1) for s in range(0, len(q.vectors), 512)])
+        owner, d = np.repeat(np.arange(len(best)), len(counts)), pa.array(np.tile(np.arange(len(counts)), len(best)))
+        return pa.RecordBatch.from_arrays([pa.array(q.owner[owner]), pa.array(q.positions[owner]), batch.column("doc_id").cast(id_type).take(d), pa.array(best.ravel())], names=["query_id", "q_pos", "doc_id", "best"])
+
+    return against(docs.select("doc_id", "embeddings").where(F.size("embeddings") > 0), queries, score, f"query_id long, q_pos long, doc_id {name}, best double", most=2_000_000)
+
+
+def all_pairs(tokens: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, q_pos, weight, doc_id, tok_pos, sim) of all query tokens and document tokens; the rows are the product of both, as asked."""
+    id_type, name = _kind(tokens)
+
+    def score(q: Queries, batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors = matrix(batch.column("embedding"))
+        owner, d = np.repeat(np.arange(len(q.vectors)), len(vectors)), pa.array(np.tile(np.arange(len(vectors)), len(q.vectors)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(q.owner[owner]), pa.array(q.positions[owner]), pa.array(q.weights[owner]), batch.column("doc_id").cast(id_type).take(d), batch.column("tok_pos").take(d), pa.array((q.vectors @ vectors.T).ravel())],
+            names=["query_id", "q_pos", "weight", "doc_id", "tok_pos", "sim"],
+        )
+
+    rows = tokens.select("doc_id", F.col("tok_pos").cast("int").alias("tok_pos"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return against(rows, queries, score, f"query_id long, q_pos long, weight double, doc_id {name}, tok_pos int, sim double", most=2_000_000)
+
+
+def max_sim_pairs(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the given (query_id, doc_id) pairs and no others.
+
+    A document's candidate queries travel to it as one array of ids, so vectors are never moved for a pair and work grows with the pairs.
+    """
+    id_type, name = _kind(docs)
+    asked = pairs.groupBy("doc_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("asked"))
+
+    def score(q: Queries, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, wanted = batch.column("embeddings"), batch.column("asked")
+        n_d, n_q = (pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False).astype(int) for x in (lists, wanted))
+        flat, ids = matrix(lists.flatten()) if n_d.sum() else np.empty((0, q.vectors.shape[1])), wanted.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(q.ids, ids), len(q.ids) - 1)
+        here, sizes = q.ids[at] == ids, np.diff(np.append(q.starts, len(q.vectors)))
+        out_q, out_d, out = [], [], []
+        d_ends, q_ends = np.cumsum(n_d).tolist(), np.cumsum(n_q).tolist()
+        for j, (d, e, k, f) in enumerate(zip(n_d.tolist(), d_ends, n_q.tolist(), q_ends, strict=True)):
+            mine = at[f - k : f][here[f - k : f]]
+            if not d or not len(mine):
                 continue
-            whole = len(some) == len(counts)
-            flat = (lists if whole else lists.filter(pa.array(counts > 0))).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(int(counts.sum()), -1)
-            first = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-            best = np.empty((len(vectors), len(some)))
-            for s in range(0, len(vectors), 512):  # a bounded block of query tokens at a time
-                best[s : s + 512] = np.maximum.reduceat(vectors[s : s + 512] @ flat.T, first, axis=1)
-            scores = np.add.reduceat(best * weights[:, None], starts, axis=0)
-            names = batch.column("doc_id") if whole else batch.column("doc_id").take(pa.array(some))
-            if top_k is not None and len(some) > top_k:
-                rounded = np.round(scores, digits)
-                order = pc.array_sort_indices(names).to_numpy()
-                by_name = np.empty(len(order), int)
-                by_name[order] = np.arange(len(order))
-                at = np.array([np.lexsort((by_name, -r))[:top_k] for r in rounded])
-                q, d = np.repeat(ids, top_k), at.ravel()
-                values = np.take_along_axis(scores, at, 1).ravel()
+            lengths = sizes[mine]
+            first = np.cumsum(lengths) - lengths
+            rows = np.repeat(q.starts[mine] - first, lengths) + np.arange(int(lengths.sum()))
+            best = (q.vectors[rows] @ flat[e - d : e].T).max(1) * q.weights[rows]
+            out_q.append(q.ids[mine])
+            out_d.append(np.full(len(mine), j))
+            out.append(np.add.reduceat(best, first))
+        joined = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((out_q, np.int64), (out_d, np.int64), (out, float))]
+        return pa.RecordBatch.from_arrays([pa.array(joined[0]), batch.column("doc_id").cast(id_type).take(pa.array(joined[1])), pa.array(joined[2])], names=["query_id", "doc_id", "score"])
+
+    return against(docs.select("doc_id", "embeddings").join(asked, "doc_id"), queries, score, f"query_id long, doc_id {name}, score double")
+
+
+def nearest(tokens: DataFrame, queries: DataFrame, k: int, space: str, digits: int) -> DataFrame:
+    """(query_id, q_pos, weight, doc_id, tok_pos, near): a superset of the k nearest tokens of each query token, k of each batch."""
+    id_type, name = _kind(tokens)
+
+    def score(q: Queries, batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors, names = matrix(batch.column("embedding")), batch.column("doc_id").cast(id_type)
+        place = batch.column("tok_pos").to_numpy()
+        by_name = np.empty(len(place), int)
+        by_name[np.lexsort((place, pc.rank(names, tiebreaker="dense").to_numpy()))] = np.arange(len(place))
+        at, values, n = [], [], min(k, len(place))
+        for s in range(0, len(q.vectors), 256):
+            part = q.vectors[s : s + 256]
+            if space == "cosine":
+                near = part @ vectors.T
             else:
-                q, d, values = np.repeat(ids, len(some)), np.tile(np.arange(len(some)), len(ids)), scores.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), names.take(pa.array(d)).cast(id_type), pa.array(values)], names=["query_id", "doc_id", "score"])
-
-    return run
-
-
-def max_sim(matrix: DataFrame, queries: DataFrame, top_k: int | None = None, digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score) of every query and document, or a superset of each query's top_k of them."""
-    kind = matrix.schema["doc_id"].dataType.simpleString()
-    id_type = pa.string() if kind == "string" else pa.int64()
-    schema = f"query_id long, doc_id {'string' if kind == 'string' else 'long'}, score double"
-    parts = query_arrays(queries)
-    if not parts:
-        return matrix.sparkSession.createDataFrame([], schema)
-    found = [matrix.select("doc_id", "embeddings").mapInArrow(_score(p, top_k, id_type, digits), schema) for p in parts]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+                near = np.stack([-((v - vectors) ** 2).sum(1) for v in part])
+            near = np.round(near, digits)
+            if n < len(place):
+                least = np.partition(near, len(place) - n, axis=1)[:, len(place) - n]
+                for row, low in zip(near, least.tolist(), strict=True):
+                    some = np.flatnonzero(row >= low)
+                    some = some[np.lexsort((by_name[some], -row[some]))[:n]]
+                    at.append(some)
+                    values.append(row[some])
+            else:
+                at += [np.arange(n)] * len(part)
+                values += list(near)
+        owner = np.repeat(np.arange(len(q.vectors)), n)
+        d = pa.array(np.concatenate(at) if at else np.empty(0, int))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(q.owner[owner]), pa.array(q.positions[owner]), pa.array(q.weights[owner]), names.take(d), pa.array(place.astype(np.int32)).take(d), pa.array(np.concatenate(values) if values else np.empty(0))],
+            names=["query_id", "q_pos", "weight", "doc_id", "tok_pos", "near"],
+        )
+
+    rows = tokens.select("doc_id", F.col("tok_pos").cast("int").alias("tok_pos"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return against(rows, queries, score, f"query_id long, q_pos long, weight double, doc_id {name}, tok_pos int, near double")
 
 
 def top(scores: DataFrame, k: int | None, digits: int = 6) -> DataFrame:

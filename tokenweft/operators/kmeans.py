@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tokenweft.functions.vectors import dot, squared_distance, unit_centroid
-from tokenweft.session import cut, small
+from tokenweft.functions.vectors import unit_centroid
+from tokenweft.operators.kernel import matrix
+from tokenweft.session import BROADCAST_BYTES, attach, cut, row_bytes, small
 
 DIGITS = 9
 #: Rows on which centroids may be trained; a documented bound. All rows are assigned.
@@ -25,13 +29,34 @@ def seeds(vectors: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
 def assign(vectors: DataFrame, centroids: DataFrame, metric: str = "cosine") -> DataFrame:
     """vectors plus centroid_id: the largest product (cosine) or the least distance (l2); the lowest id of equal ones.
 
-    The centroids travel as one array inside each row's expression, so that no row is multiplied or shuffled.
+    The codebook, at most BROADCAST_BYTES, is shipped to the tasks, and each Arrow batch is one matrix product: no row is multiplied or shuffled.
     """
-    codebook = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col("centroid_id").cast("int").alias("id"), F.col("vector").alias("v")))).alias("_book"))
-    rows = vectors.crossJoin(F.broadcast(codebook))
-    measure = (lambda v: -dot("embedding", v)) if metric == "cosine" else (lambda v: squared_distance("embedding", v))
-    best = F.array_min(F.transform("_book", lambda c: F.struct(F.round(measure(c["v"]), DIGITS).alias("d"), c["id"].alias("id"))))
-    return rows.withColumn("centroid_id", best["id"]).drop("_book")
+    book = cut(centroids.select(F.col("centroid_id").cast("int").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v")))
+    if (book.agg(F.sum(row_bytes(book))).first()[0] or 0) > BROADCAST_BYTES:
+        raise ValueError(f"a codebook may take {BROADCAST_BYTES} bytes at most")
+    table = book.toArrow().sort_by("id").combine_chunks()
+    ids = table.column("id").to_numpy()
+    points = matrix(pa.concat_arrays(table.column("v").chunks)) if len(ids) else np.empty((0, 0))
+    attach(vectors.sparkSession)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, points, (points * points).sum(1)))
+
+    def run(batches):
+        names, book, norms = shared.value
+        for batch in batches:
+            lists = batch.column("embedding")
+            some = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)) if len(names) else np.empty(0, int)
+            best = np.zeros(batch.num_rows, np.int32)
+            if len(some):
+                rows = matrix(lists.filter(lists.is_valid()) if lists.null_count else lists)
+                for s in range(0, len(rows), 1024):
+                    near = rows[s : s + 1024] @ book.T
+                    far = -near if metric == "cosine" else norms - 2 * near + (rows[s : s + 1024] ** 2).sum(1)[:, None]
+                    best[some[s : s + 1024]] = names[np.round(far, DIGITS).argmin(1)]
+            known = np.ones(batch.num_rows, bool)
+            known[some] = False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int32(), mask=known)], names=[*batch.schema.names, "centroid_id"])
+
+    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("centroid_id", IntegerType())]))
 
 
 def normalized(centroids: DataFrame) -> DataFrame:
@@ -51,7 +76,11 @@ def lloyd(vectors: DataFrame, centroids: DataFrame, iterations: int = 10, normal
 
 def train(vectors: DataFrame, k: int, iterations: int = 10, seed: int = 42, normalize: bool = True, rows: int = TRAIN_ROWS) -> DataFrame:
     """(centroid_id, vector) by the library's K-means on at most `rows` vectors; at most as many centroids as vectors."""
-    sample = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(rows)
+    n, by = vectors.count(), F.xxhash64(*vectors.columns)
+    some = vectors.withColumn("_h", by)
+    if n > 4 * rows:  # only hashes below twice the wanted share are sorted, so the last task sees a few times `rows` vectors at any size
+        some = some.where(F.col("_h") <= F.lit(-(1 << 63) + int((1 << 64) * (2 * rows + 1000) / n)).cast("long"))
+    sample = some.orderBy("_h").limit(rows).select("embedding")
     data = cut(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     k = min(k, data.count())
     if k < 1:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tokenweft.functions.vectors import dot, scaled
 from tokenweft.operators import encode
-from tokenweft.operators.kernel import max_sim, nest, top
+from tokenweft.operators.kernel import max_sim, max_sim_pairs, nest, top
 from tokenweft.operators.scoring import weighted
 from tokenweft.session import cut, small
 
@@ -25,8 +25,9 @@ def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, top_k:
 
     A candidate without tokens keeps its place with score 0; one that is named twice is ranked twice.
     """
+    candidates = cut(candidates)
     docs = tokens.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = candidates.join(max_sim(nest(docs), weighted(queries)), ["query_id", "doc_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
+    found = candidates.join(max_sim_pairs(candidates, nest(docs), weighted(queries)), ["query_id", "doc_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id", "cand_pos")
     ranked = found.withColumn("rank", F.row_number().over(w))
     if top_k is not None:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenweft.functions.vectors import dot
-from tokenweft.operators.kernel import max_sim, nest, top
+from tokenweft.operators.kernel import all_pairs, max_sim, nest, top
 from tokenweft.session import small
 
 #: Fixed value: tokens that stand for no word.
@@ -25,13 +24,16 @@ def weighted(queries: DataFrame) -> DataFrame:
 
 def similarities(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     """(query_id, q_pos, weight, doc_id, tok_pos, sim) of all query tokens and document tokens."""
-    q = small(weighted(queries).select("query_id", "q_pos", "weight", F.col("embedding").alias("_q")))
-    pairs = tokens.select("doc_id", "tok_pos", "embedding").crossJoin(q)
-    return pairs.select("query_id", "q_pos", "weight", "doc_id", "tok_pos", dot("_q", "embedding").alias("sim"))
+    return all_pairs(tokens, weighted(queries))
 
 
 def scores(queries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score); two aggregates, both summed up before they are shuffled."""
+    """(query_id, doc_id, score) of all queries and documents, by the dense kernel."""
+    return max_sim(nest(tokens), weighted(queries))
+
+
+def scores_by_join(queries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The same from the similarities as rows: two aggregates, both summed up before they are shuffled."""
     best = similarities(queries, tokens).groupBy("query_id", "doc_id", "q_pos", "weight").agg(F.max("sim").alias("best"))
     return best.groupBy("query_id", "doc_id").agg(F.sum(F.col("best") * F.col("weight")).alias("score"))
 
@@ -49,8 +51,8 @@ def rank(queries: DataFrame, tokens: DataFrame, k: int | None = None) -> DataFra
 def explain(queries: DataFrame, tokens: DataFrame, query_names: DataFrame, token_names: DataFrame) -> DataFrame:
     """(query_id, doc_id, query_index, query_token, doc_index, doc_token, similarity, score).
 
-    The best document token of each query token (the first of equal ones). Only query tokens with a name are listed, as far as
-    names go without a gap; the score sums all of them. A document index without a name reads OUT_OF_RANGE.
+    The best document token of each query token (the first of equal ones). Only query tokens with a name are listed; the score sums
+    all of them. A document index without a name reads OUT_OF_RANGE.
     """
     sims = similarities(queries, tokens).withColumn("sim", F.round("sim", DIGITS))
     best = sims.groupBy("query_id", "doc_id", "q_pos", "weight").agg(F.max(F.struct("sim", (-F.col("tok_pos")).alias("neg"))).alias("b"))
@@ -67,15 +69,20 @@ def _cell(token: str) -> Column:
     return F.rpad(F.substring(token, 1, 20), 20, " ")
 
 
+def _number(x: Column) -> Column:
+    """The shortest decimal text of a number, as 0.95, 1.0 or 3.0e-4."""
+    return F.lower(x.cast("string"))
+
+
 def format_explanation(explained: DataFrame, skip_special: bool = True, min_similarity: float = 0.0, top_k: int | None = None) -> DataFrame:
-    """(query_id, doc_id, report): a header with the score, a rule, and a line for each match from the most similar down."""
+    """(query_id, doc_id, report): the score, a blank line, a line of column names, a rule, and a line for each match from the most similar down."""
     shown = explained.withColumn("_shown", (F.lit(not skip_special) | ~F.col("query_token").isin(*SPECIAL)) & (F.col("similarity") >= min_similarity))
-    line = F.concat(_cell("query_token"), F.lit(" -> "), _cell("doc_token"), F.lit(" ("), F.format_number(F.round("similarity", 4), 4), F.lit(")"))
+    line = F.concat(_cell("query_token"), F.lit(" -> "), _cell("doc_token"), F.lit(" "), _number(F.round("similarity", 4)))
     entry = F.when(F.col("_shown"), F.struct((-F.col("similarity")).alias("s"), F.col("query_index").alias("i"), line.alias("line")))
     lines = shown.groupBy("query_id", "doc_id").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(entry)).alias("lines"))
     some = F.slice("lines", 1, top_k) if top_k is not None else F.col("lines")
-    head = F.concat(F.lit("Score: "), F.format_number(F.round("score", 2), 2))
-    text = F.array_join(F.concat(F.array(head, F.lit("-" * 60)), F.transform(some, lambda x: x["line"])), "\n")
+    head = F.concat(F.lit("Score: "), _number(F.round("score", 2)), F.lit(f"\n\n{'Query Token':20} -> {'Doc Token':20} Similarity\n{'-' * 60}\n"))
+    text = F.concat(head, F.array_join(F.transform(some, lambda x: x["line"]), "\n"))
     return lines.select("query_id", "doc_id", text.alias("report"))
 
 

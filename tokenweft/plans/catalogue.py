@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweft.functions.quantize import quantize, ratio
-from tokenweft.functions.vectors import project, text, unit
+from tokenweft import api
+from tokenweft.functions.vectors import norm, project, text, unit
 from tokenweft.operators import chunk, compression, encode, kmeans, retrieve, scoring
 from tokenweft.operators.indexes import CentroidIndex, CompressedIndex, FlatIndex, nearest_tokens, postings_of, probed
 from tokenweft.operators.kernel import top
@@ -118,10 +119,13 @@ def explain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", F.col("query_index").cast("long").alias("query_index"), "query_token", F.col("doc_index").cast("long").alias("doc_index"), "doc_token", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-@registered(f"""{EXPLAIN}, lines AS (SELECT *, rpad(substr(query_token, 1, 20), 20, ' ') || ' -> ' || rpad(substr(doc_token, 1, 20), 20, ' ') || ' (' || printf('%.4f', round(similarity, 4)) || ')' AS line FROM ex),
-heads AS (SELECT DISTINCT query_id, doc_id, 'Score: ' || printf('%.2f', round(score, 2)) || chr(10) || repeat('-', 60) AS head FROM ex),
+_NUMBER = "CASE WHEN {v} > 0 AND {v} < 0.001 THEN round({v} * 10000)::INT || '.0e-4' ELSE {v}::VARCHAR END"
+
+
+@registered(f"""{EXPLAIN}, lines AS (SELECT *, rpad(substr(query_token, 1, 20), 20, ' ') || ' -> ' || rpad(substr(doc_token, 1, 20), 20, ' ') || ' ' || {_NUMBER.format(v='round(similarity, 4)')} AS line FROM ex),
+heads AS (SELECT DISTINCT query_id, doc_id, 'Score: ' || {_NUMBER.format(v='round(score, 2)')} || chr(10) || chr(10) || rpad('Query Token', 20, ' ') || ' -> ' || rpad('Doc Token', 20, ' ') || ' Similarity' || chr(10) || repeat('-', 60) || chr(10) AS head FROM ex),
 body AS (SELECT query_id, doc_id, string_agg(line, chr(10) ORDER BY similarity DESC, query_index) AS body FROM lines WHERE query_token <> '[CLS]' AND similarity >= 0 GROUP BY ALL)
-SELECT query_id, doc_id, head || CASE WHEN body IS NULL THEN '' ELSE chr(10) || body END AS report FROM heads LEFT JOIN body USING (query_id, doc_id)""")
+SELECT query_id, doc_id, head || coalesce(body, '') AS report FROM heads LEFT JOIN body USING (query_id, doc_id)""")
 def explain_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.format_explanation(_explained(spark, sf_dir))
 
@@ -317,7 +321,7 @@ def approx_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT bits::INT AS bits, dim::INT AS dim, round(dim * 4.0 / (2 + dim // (8 // bits)), 2)::DOUBLE AS ratio FROM (VALUES (1), (2), (4), (8)) b(bits), (SELECT DISTINCT len(embedding) AS dim FROM embeddings UNION SELECT 128)")
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dims = [r[0] for r in table(spark, sf_dir, "embeddings").select(F.size("embedding")).distinct().limit(100).collect()]
+    dims = [r[0] for r in table(spark, sf_dir, "embeddings").select(F.size("embedding")).distinct().collect()]
     return spark.createDataFrame([(b, d, ratio(d, b)) for b in (1, 2, 4, 8) for d in sorted({*dims, 128})], "bits int, dim int, ratio double")
 
 
@@ -506,7 +510,7 @@ qv AS (SELECT DISTINCT token FROM qa), pair AS (SELECT qv.token AS qt, b.token A
 best AS (SELECT qt, doc_id, max(s) AS b FROM pair JOIN da ON da.token = pair.dt GROUP BY ALL), score AS (SELECT query_id, doc_id, sum(w * b) AS score FROM qa JOIN best ON qa.token = best.qt GROUP BY ALL)"""
 
 
-@registered()
+@registered(ranked_sql(RERANK_TEXTS, "score", 10))
 def rerank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item against every document's text."""
     queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
@@ -588,9 +592,99 @@ for _how, _sql in (("max", "max"), ("mean", "avg"), ("sum", "sum")):
     _add_merge(_how, _sql)
 
 
+# texts through the whole way in
+
+
+BENCH = f"""WITH bt AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[^a-z0-9\\s]') AS t FROM benchmark),
+qm AS (SELECT id, list_concat(list_concat(['[CLS]', '[Q]'], list_slice(t, 1, 29)), ['[SEP]']) AS t FROM bt),
+qa AS (SELECT id AS query_id, unnest(range(len(t)))::BIGINT AS q_pos, unnest(t) AS token, 1.0::DOUBLE AS w FROM qm UNION ALL SELECT id, len(t)::BIGINT, '[MASK]', (32 - len(t))::DOUBLE FROM qm WHERE len(t) < 32),
+dm AS (SELECT id, list_concat(list_concat(['[CLS]', '[D]'], list_slice(t, 1, 177)), ['[SEP]']) AS t FROM bt), da AS (SELECT id AS doc_id, unnest(range(len(t)))::BIGINT AS tok_pos, unnest(t) AS token FROM dm),
+v AS (SELECT token, list_transform(r, lambda x: x / (sqrt(list_inner_product(r, r)) + 1e-9)) AS v FROM (SELECT token, {_V} AS r FROM (SELECT token FROM qa UNION SELECT token FROM da))),
+pr AS (SELECT a.token AS qt, b.token AS dt, list_inner_product(a.v, b.v) AS s FROM v a, v b WHERE a.token IN (SELECT token FROM qa) AND b.token IN (SELECT token FROM da)),
+sim AS (SELECT query_id, q_pos, w, qa.token AS query_token, doc_id, tok_pos, da.token AS doc_token, s FROM qa JOIN pr ON qa.token = pr.qt JOIN da ON da.token = pr.dt),
+score AS (SELECT query_id, doc_id, sum(b * w) AS score FROM (SELECT query_id, doc_id, q_pos, w, max(s) AS b FROM sim GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _bench(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("query_id"), "text"), items.select(F.col("item_id").alias("doc_id"), "text")
+
+
+@registered(ranked_sql(f"{BENCH}, {_nn(50)}, cs AS (SELECT * FROM score SEMI JOIN nn USING (query_id, doc_id))", "cs", 10))
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in, texts asked: every benchmark item is indexed and is a query."""
+    encoder, (queries, docs) = api.load_encoder(), _bench(spark, sf_dir)
+    return api.search(queries, encoder, api.index(docs, encoder, api.new_index(spark, encoder)))
+
+
+@registered(f"""{BENCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_pos ORDER BY round(s, 9) DESC, tok_pos) AS n FROM sim), ex AS (SELECT *, sum(round(s, 9) * w) OVER (PARTITION BY query_id, doc_id) AS score FROM best WHERE n = 1)
+SELECT query_id, doc_id, q_pos AS query_index, query_token, tok_pos AS doc_index, doc_token, round(s, 6) AS similarity, round(score, 6) AS score FROM ex WHERE query_token <> '[MASK]'""")
+def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.explain(*_bench(spark, sf_dir), api.load_encoder())
+    return found.select("query_id", "doc_id", F.col("query_index").cast("long").alias("query_index"), "query_token", F.col("doc_index").cast("long").alias("doc_index"), "doc_token", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
+@registered(f"""WITH {DTOK.format(n=177)}, mk AS (SELECT doc_id, list_concat(list_concat(['[CLS]', '[D]'], t), ['[SEP]']) AS t FROM dt), tk AS (SELECT doc_id, unnest(range(len(t)))::INT AS p, unnest(t) AS token FROM mk),
+f AS (SELECT doc_id, token, min(p) AS p FROM tk WHERE token NOT IN ({SKIP}) GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INT AS tok_pos, token FROM f""")
+def encode_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents encoded, without punctuation and near duplicates: of this encoder's vectors equal tokens alone are over 0.99."""
+    return encode.encode_documents(table(spark, sf_dir, "documents"), encode.HashEncoder(), True, True).select("doc_id", "tok_pos", "token")
+
+
+# indexes that train themselves, and their updates
+
+
+@registered(ranked_sql(BASE, "score", 10))
+def trained_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first batch trains the centroids; with all of them probed the search is exact, whatever they are."""
+    queries, tokens = inputs(spark, sf_dir)
+    return CentroidIndex.new(spark, DIM, CENTROIDS).index_documents(tokens).search(queries, nprobe=CENTROIDS)
+
+
+@registered(f"WITH {TOK}, {Q} SELECT DISTINCT query_id, query_id AS doc_id FROM q")
+def trained_compressed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codebook and centroids are trained; with 8 bits every query document is its own best match."""
+    queries, tokens = inputs(spark, sf_dir)
+    index = CompressedIndex(DIM, 8, CENTROIDS, CENTROIDS).index_documents(tokens)
+    return index.search(queries, top_k=1, nprobe=CENTROIDS).select("query_id", "doc_id")
+
+
+@registered(f"WITH {TOK} SELECT {CENTROIDS}::BIGINT AS n_centroids, {CENTROIDS}::BIGINT AS n_unit, count(*) AS n_tokens FROM tok")
+def trained_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many centroids as asked for, all of unit length, and every token assigned to one of them."""
+    tokens = tokens_of(spark, sf_dir)
+    found = cut(kmeans.train(tokens, CENTROIDS))
+    about = found.agg(F.count(F.lit(1)).alias("n_centroids"), F.count_if(F.abs(norm("vector") - 1) < 1e-6).alias("n_unit"))
+    known = kmeans.assign(tokens, found).join(F.broadcast(found.select("centroid_id")), "centroid_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return about.crossJoin(known)
+
+
+_ODD_CENT = f"WITH {TOK}, {CENT}, {_ODD}, u AS (SELECT * FROM tok ANTI JOIN new USING (doc_id) UNION ALL SELECT * FROM new)"
+
+
+@registered(f"{_ODD_CENT}, {_near_sql('cosine').replace('FROM tok,', 'FROM u,')} SELECT DISTINCT centroid_id, doc_id FROM near")
+def centroid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid(spark, sf_dir).update(_shifted(tokens_of(spark, sf_dir))).postings
+
+
+@registered(f"{_ODD_CENT}, {_near_sql('l2').replace('FROM tok,', 'FROM u,')} SELECT doc_id, tok_pos, centroid_id FROM near")
+def compressed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compressed(spark, sf_dir).update(_shifted(tokens_of(spark, sf_dir))).codes
+    return found.select("doc_id", F.col("tok_pos").cast("long").alias("tok_pos"), "centroid_id")
+
+
 # persistence
 
 
+@registered(SQL["decompress_2bit"])
+def save_load_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark)
+    compression.save_codebook(book(spark, sf_dir), path, 2)
+    centroids, bits = compression.load_codebook(spark, path)
+    back = compression.decompress(compression.compress(tokens_of(spark, sf_dir), centroids, bits), centroids, bits)
+    return back.select("doc_id", F.col("tok_pos").cast("long").alias("tok_pos"), text("embedding").alias("vector"))
+
+
 @registered(SQL["search_centroid"])
 def save_load_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
@@ -615,7 +709,7 @@ def save_load_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(ranked_sql(BASE, "score", 10))
 def merged_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join formulation of maxsim_topk: the same rows without the kernel."""
-    return top(scoring.scores(*inputs(spark, sf_dir)), 10)
+    return top(scoring.scores_by_join(*inputs(spark, sf_dir)), 10)
 
 
 def queries() -> dict[str, Query]:

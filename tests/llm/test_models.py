@@ -179,3 +179,17 @@ def test_every_language_has_a_threshold():
     names = [f"l{i:03}" for i in range(300)]
     found = toxicity.language_thresholds(np.tile([0.1, 0.3], 300), np.tile([0, 1], 300), [x for x in names for _ in range(2)])
     assert sorted(found) == names and max(abs(v - 0.2) for v in found.values()) < 1e-12
+
+
+def test_driver_takes_whole_ids_within_bounds(spark):
+    from pyspark.sql import functions as F
+
+    from tokenweft.llm._common import bounded
+
+    df = spark.createDataFrame([(i // 3 if i < 30 else i, [1] * 10) for i in range(90)], "doc_id long, words array<int>").repartition(4)
+    take = lambda rows, size: bounded(df, F.size("words"), rows, size).column("doc_id").to_pylist()
+    assert len(take(90, 900)) == 90 and len(take(1000, 10_000)) == 90
+    for rows, size in ((20, 900), (90, 200), (1, 900)):
+        got = collections.Counter(take(rows, size))
+        assert sum(got.values()) <= min(rows, size // 10) and all(n == (3 if i < 10 else 1) for i, n in got.items())
+    assert sum(collections.Counter(take(20, 900)).values()) >= 18 and bounded(df.limit(0), F.size("words"), 5, 5).num_rows == 0

@@ -117,7 +117,7 @@ def runs(lengths, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def text_runs(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about limit bytes of text each; nulls count nothing."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(int)
     for a, b in runs(sizes.tolist(), limit):
@@ -161,6 +161,22 @@ def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(h, key).limit(most)
 
 
+def bounded(found: DataFrame, size: Column, most_rows: int, most_size: int) -> pa.Table:
+    """The rows of `found`, which is written first, for the driver: the first ids by a hash, as long as they come to at most `most_rows` rows and
+    the sum of `size` stays within `most_size`. An id that many rows share is taken with all of them or ends the list."""
+    found = stored(found.withColumn("_h", F.xxhash64("doc_id")))
+    keys = found.select("_h", "doc_id", size.cast("long").alias("n")).orderBy("_h", "doc_id").limit(most_rows + 1).toArrow()
+    h, ids, total = keys.column("_h").to_numpy(), keys.column("doc_id").to_numpy(), np.cumsum(keys.column("n").to_numpy())
+    fits = (total <= most_size) & (np.arange(len(h)) < most_rows)
+    n = len(h) if fits.all() else int(np.argmin(fits))
+    if n < len(h):
+        while n and ids[n - 1] == ids[n]:
+            n -= 1
+        last = (F.col("_h") < F.lit(int(h[n]))) | (F.col("_h") == F.lit(int(h[n]))) & (F.col("doc_id") < F.lit(int(ids[n])))
+        found = found.where(last)
+    return found.drop("_h").toArrow()
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

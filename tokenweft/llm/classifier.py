@@ -5,7 +5,7 @@ of the classes; a linear hinge-loss model is fitted on the unit-length rows by d
 fitted on a fifth of the sample, kept apart from the descent, turns margins into scores.
 
 Fitting uses at most `max_rows` labelled training rows, the first by a hash of their id (MAX_ROWS below); their
-ids are broadcast, their indicators gathered on the driver: both bounded by that parameter. Scoring is one pass
+ids are broadcast, their indicators gathered on the driver: bounded by that parameter and by MAX_FEATURES in all (4 bytes each). Scoring is one pass
 over all documents with a model of 2**bits weights. Labels, lang, source and doc_id are no inputs of a score.
 
 Cases: null and empty texts have no n-grams and get the score of the bias alone; without rows of both classes
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import crc_mod, filtered, hash_sample, mapped, text_runs
+from tokenweft.llm._common import bounded, crc_mod, filtered, hash_sample, mapped, text_runs
 from tokenweft.llm.words import Block, word_table
 
 BITS = 18
-MAX_ROWS = 12_000
+MAX_ROWS, MAX_FEATURES = 12_000, 24_000_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
@@ -165,10 +165,10 @@ def _gather(bits: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
     sample = F.broadcast(sample_ids(labels, label, max_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "y")
-    found = mapped(rows, _gather(bits), "doc_id long, y int, buckets array<int>").toArrow()  # at most max_rows ids
+    found = bounded(mapped(rows, _gather(bits), "doc_id long, y int, buckets array<int>"), F.size("buckets"), max_rows, max_features)
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     order = order[np.random.default_rng(11).permutation(len(order))]
     lists, y = found["buckets"].combine_chunks(), found["y"].to_numpy()

@@ -194,7 +194,7 @@ def _cut(path: str, end_id: int, capacity: int):
 
         encoder, seen, part = library_encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for batch in text_runs(whole):
+            for batch in text_runs(whole, limit=3_000_000):
                 rows, at = [], 0
                 ids, counts = ended(*encoder.block(batch.column("text")), end_id)
                 data = ids.tobytes()

@@ -89,7 +89,7 @@ def _parts(path: str, end_id: int, average: int, longest: int):
 
         encoder, part, at = library_encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in text_runs(whole):
+            for batch in text_runs(whole, limit=3_000_000):
                 ids, sizes = ended(*encoder.block(batch.column("text")), end_id)
                 starts = np.cumsum(sizes) - sizes
                 data = ids.tobytes()

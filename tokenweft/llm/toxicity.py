@@ -8,7 +8,7 @@ starts at the log-odds of its bucket, the rest at random. Training is minibatch
 the gradient to one window for each text and filter. A sigmoid fitted on a fifth of the sample turns the output
 into scores, and on the same fifth a threshold is chosen for each language; languages never enter a score.
 
-Fitting uses at most `max_rows` labelled training rows (MAX_ROWS), half of them of each label where there are as many,
+Fitting uses at most `max_rows` labelled training rows (MAX_ROWS) of at most MAX_WORDS words in all (8 bytes each on the driver), half of them of each label where there are as many,
 the first by a hash of their id; the sigmoid is shifted back to the labels' true shares. Scoring is
 one pass over all documents, whole texts, with memory bounded by a block of texts.
 
@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import crc_mod, hash_sample, held, mapped, text_runs
+from tokenweft.llm._common import bounded, crc_mod, hash_sample, held, mapped, text_runs
 from tokenweft.llm.classifier import FOLDS, HELD_OUT, sigmoid_fit, training_ids
 from tokenweft.llm.words import words
 
 BITS, DIM, WIDTHS, FILTERS, PARTS = 16, 12, (1, 2, 3), 12, 4
-MAX_ROWS = 8_000
+MAX_ROWS, MAX_WORDS = 8_000, 8_000_000
 THRESHOLD = 0.5
 #: Fixed value: what is cut from both ends of a word.
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -53,14 +53,21 @@ class Buckets(dict):
         self[word] = value
         return value
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(PARTS, words) rows for the words of all texts, and the texts' numbers of words."""
+    def packed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The packed rows of all texts' words, and the texts' numbers of words."""
         if len(self) > self.most:
             self.clear()
         found = [words(t) for t in texts]
         counts = np.array([len(w) for w in found], np.int64)
-        packed = np.fromiter(map(self.__getitem__, (w for ws in found for w in ws)), np.uint64, int(counts.sum()))
-        return np.stack([((packed >> np.uint64(self.bits * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int64) + (k << self.bits) for k in range(PARTS)]), counts
+        return np.fromiter(map(self.__getitem__, (w for ws in found for w in ws)), np.uint64, int(counts.sum())), counts
+
+    def rows_of(self, packed: np.ndarray) -> np.ndarray:
+        """(PARTS, words): the embedding rows."""
+        return np.stack([((packed >> np.uint64(self.bits * k)) & np.uint64((1 << self.bits) - 1)).astype(np.int32) + (k << self.bits) for k in range(PARTS)])
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        packed, counts = self.packed(texts)
+        return self.rows_of(packed), counts
 
 
 @dataclass
@@ -218,32 +225,31 @@ def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | Non
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = BITS, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
     known = training_ids(labels, label)
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     ones, zeros = (hash_sample(known.where(F.col("y") == y), "doc_id", n) for y, n in ((1, max_rows // 2), (0, max_rows - max_rows // 2)))
     sample = F.broadcast(ones.unionByName(zeros))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
-    names = [f"part{k}" for k in range(PARTS)]
-
     def run(batches):
         buckets = Buckets(bits)
         for whole in batches:
             for batch in text_runs(whole):
-                found, counts = buckets.of(batch.column("text").to_pylist())
-                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(f, pa.int32())) for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), *lists], names=["doc_id", "y", "lang", *names])
+                packed, counts = buckets.packed(batch.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(packed.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("lang"), lists], names=["doc_id", "y", "lang", "words"])
 
-    found = mapped(rows.join(sample, "doc_id").select("doc_id", "y", "lang", "text"), run, "doc_id long, y int, lang string, " + ", ".join(f"{x} array<int>" for x in names)).toArrow()  # at most max_rows ids
+    sampled = mapped(rows.join(sample, "doc_id").select("doc_id", "y", "lang", "text"), run, "doc_id long, y int, lang string, words array<long>")
+    found = bounded(sampled, F.size("words"), max_rows, max_words)
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     order = order[np.random.default_rng(3).permutation(len(order))]
-    parts = [found[c].combine_chunks() for c in names]
-    ends = np.concatenate([[0], np.cumsum(parts[0].value_lengths().to_numpy())]) if len(parts[0]) else np.zeros(1, int)
-    flat = np.stack([p.flatten().to_numpy() for p in parts]) if len(parts[0]) else np.zeros((PARTS, 0), int)
+    lists = found["words"].combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) if len(lists) else np.zeros(1, int)
+    flat = lists.flatten().to_numpy().view(np.uint64) if len(lists) else np.empty(0, np.uint64)
     langs = found["lang"].to_pylist()
-    return train([flat[:, ends[i] : ends[i + 1]] for i in order], found["y"].to_numpy()[order].astype(int), [langs[i] for i in order], bits, prior=shares.get(1, 0) / max(1, sum(shares.values())))
+    texts = [Buckets(bits).rows_of(flat[ends[i] : ends[i + 1]]) for i in order]
+    return train(texts, found["y"].to_numpy()[order].astype(int), [langs[i] for i in order], bits, prior=shares.get(1, 0) / max(1, sum(shares.values())))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

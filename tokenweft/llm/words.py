@@ -27,7 +27,7 @@ def shape(word: bytes) -> bytes:
 
 
 class WordTable(dict):
-    """word -> row; `hashes` and, if asked for, `shapes` are arrays by row. Emptied between batches once it holds `most` words."""
+    """word -> row; `hashes` and, if asked for, `shapes` are arrays by row. Emptied between batches once it holds `most` words or 100 bytes for each of them."""
 
     def __init__(self, shapes: bool = False, most: int = 500_000):
         super().__init__()
@@ -39,15 +39,16 @@ class WordTable(dict):
         self.new: list[bytes] = []
         self._hashes = np.empty(1 << 16, np.uint64)
         self._shapes = np.empty(1 << 16, np.uint64)
-        self.done = 0
+        self.done = self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         row = self[word] = len(self)
         self.new.append(word)
+        self.bytes += len(word)
         return row
 
     def trim(self) -> None:
-        if len(self) > self.most:
+        if len(self) > self.most or self.bytes > 100 * self.most:
             self._reset()
 
     def rows(self, found: list[bytes]) -> np.ndarray:

@@ -24,13 +24,22 @@ def are_stars(edges: DataFrame) -> bool:
 HUBS = 500
 
 
+def join_hubs(rows: DataFrame, known: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of known(key, n, ...), whose n is the key's number of rows, `total` in all; keys that known lacks go.
+
+    Known rows of hubs are broadcast: fewer than HUBS, since each has more than a share of 1/HUBS of the rows.
+    """
+    many = F.col("n") > max(1000, total // HUBS)
+    names = [c for c in known.columns if c not in (key, "n")]
+    hubs = known.where(many).select(F.col(key).alias("_hub"), *(F.col(c).alias(f"_{c}") for c in names))
+    marked = rows.join(F.broadcast(hubs), rows[key] == F.col("_hub"), "left")
+    others = marked.where("_hub is null").select(*rows.columns).join(known.where(~many).drop("n"), key).select(*rows.columns, *names)
+    return others.unionByName(marked.where("_hub is not null").select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in names)))
+
+
 def with_least(edges: DataFrame, total: int) -> DataFrame:
     """(u, v, m): m is the least v of each u."""
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-    many = F.col("n") > max(1000, total // HUBS)
-    marked = edges.join(F.broadcast(least.where(many).select("u", F.col("m").alias("hub"))), "u", "left")
-    others = marked.where("hub is null").join(least.where(~many).select("u", "m"), "u").select("u", "v", "m")
-    return others.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+    return join_hubs(edges, stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))), "u", total)
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenweft.llm._common import mapped, stored, text_runs
-from tokenweft.llm.components import components
+from tokenweft.llm.components import components, join_hubs
 from tokenweft.llm.words import grams, word_table, words
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
@@ -390,7 +390,7 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     rows = stored(found.select("root", "doc_id", "h"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("b"), F.count(F.lit(1)).alias("n"))
-    marked = rows.join(least.where("n > 1"), "root")  # a class of one row loses nothing
+    marked = stored(join_hubs(rows, stored(least.where("n > 1")), "root", rows.count()))  # a class of one row loses nothing
     best = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("h") == F.col("b.h"))
     going = marked.where(~best).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     again = stored(marked.where(best).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))

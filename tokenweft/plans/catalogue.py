@@ -618,10 +618,10 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(f"""{BENCH}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, q_pos ORDER BY round(s, 9) DESC, tok_pos) AS n FROM sim), ex AS (SELECT *, sum(round(s, 9) * w) OVER (PARTITION BY query_id, doc_id) AS score FROM best WHERE n = 1)
-SELECT query_id, doc_id, q_pos AS query_index, query_token, tok_pos AS doc_index, doc_token, round(round(s, 9), 6) AS similarity, round(score, 6) AS score FROM ex WHERE query_token <> '[MASK]'""")
+SELECT query_id, doc_id, q_pos AS query_index, query_token, tok_pos AS doc_index, doc_token, round(s, 9) AS similarity, round(score, 9) AS score FROM ex WHERE query_token <> '[MASK]'""")
 def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.explain(*_bench(spark, sf_dir), api.load_encoder())
-    return found.select("query_id", "doc_id", F.col("query_index").cast("long").alias("query_index"), "query_token", F.col("doc_index").cast("long").alias("doc_index"), "doc_token", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+    return found.select("query_id", "doc_id", F.col("query_index").cast("long").alias("query_index"), "query_token", F.col("doc_index").cast("long").alias("doc_index"), "doc_token", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
 
 
 @registered(f"""WITH {DTOK.format(n=177)}, mk AS (SELECT doc_id, list_concat(list_concat(['[CLS]', '[D]'], t), ['[SEP]']) AS t FROM dt), tk AS (SELECT doc_id, unnest(range(len(t)))::INT AS p, unnest(t) AS token FROM mk),

@@ -108,8 +108,10 @@ def test_explain(spark):
 def test_format(spark):
     got = explained(spark, [(0.9, 0), (0.8, 0), (0.2, 0), (1, 0), (-1, 0)], [(1, 0)], ["best", "good", "weak", "[CLS]", "bad"], ["doc"])
     full = scoring.format_explanation(got).first()["report"].split("\n")
-    assert full[0] == "Score: 1.90" and full[1] == "-" * 60 and [x.split()[0] for x in full[2:]] == ["best", "good", "weak"]
-    assert len(scoring.format_explanation(got, top_k=2).first()["report"].split("\n")) == 4
+    assert full[:4] == ["Score: 1.9", "", "Query Token          -> Doc Token            Similarity", "-" * 60]
+    assert full[4:] == [f"{q:20} -> {'doc':20} {s}" for q, s in (("best", "0.9"), ("good", "0.8"), ("weak", "0.2"))]
+    assert len(scoring.format_explanation(got, top_k=2).first()["report"].split("\n")) == 6
+    assert scoring.format_explanation(got, min_similarity=2.0).first()["report"].endswith("-" * 60 + "\n")
     assert "weak" not in scoring.format_explanation(got, min_similarity=0.5).first()["report"]
     assert "[CLS]" in scoring.format_explanation(got, skip_special=False).first()["report"]
 
@@ -120,3 +122,27 @@ def test_golden_score_table(spark):
     got = top(scored, None).collect()
     order = {q: [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in table}
     assert order == {0: [0, 2, 1, 3], 1: [2, 3, 0, 1], 2: [3, 0, 2, 1]}
+
+
+def test_blocks_of_queries_give_the_rows_of_one(spark, monkeypatch):
+    """Queries beyond one block: scores, top ranks, candidate pairs, nearest tokens and similarities."""
+    import random
+
+    from tokenweft.operators import kernel
+
+    rng = random.Random(3)
+    vec = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    tokens = spark.createDataFrame([(d, t, vec()) for d in range(30) for t in range(1 + d % 4)], "doc_id long, tok_pos int, embedding array<double>")
+    queries = spark.createDataFrame([(q, t, vec(), 1.0 + t) for q in range(12) for t in range(1 + q % 3)], "query_id long, q_pos int, embedding array<double>, weight double")
+    pairs = spark.createDataFrame([(q, d) for q in range(12) for d in range(q, 30, 5)] + [(99, 1), (1, 99)], "query_id long, doc_id long")
+    docs = kernel.nest(tokens)
+
+    def found():
+        frames = [kernel.max_sim(docs, queries), kernel.top(kernel.max_sim(docs, queries, 3), 3), kernel.max_sim_pairs(pairs, docs, queries), kernel.nearest(tokens, queries, 100, "cosine", 9), kernel.best_by_token(docs, queries), kernel.all_pairs(tokens, queries)]
+        return [sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in f.collect()) for f in frames]
+
+    one = found()
+    scores = {(q, d): s for q, d, s in one[0]}
+    assert len(one[0]) == 12 * 30 and one[2] == sorted((q, d, scores[q, d]) for q in range(12) for d in range(q, 30, 5))
+    monkeypatch.setattr(kernel, "QUERY_TOKENS", 5)
+    assert found() == one

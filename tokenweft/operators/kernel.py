@@ -61,15 +61,17 @@ def against(docs: DataFrame, queries: DataFrame, score: Callable[[Queries, pa.Re
     """
     spark = docs.sparkSession
     attach(spark)
-    rows = cut(query_rows(queries))
-    n = rows.count()
-    if not n:
+    rows = query_rows(queries)
+    few = rows.limit(QUERY_TOKENS + 1).toArrow()
+    if not few.num_rows:
         return spark.createDataFrame([], schema)
-    blocks = -(-n // QUERY_TOKENS)
+    blocks, found = 1, None
+    if few.num_rows > QUERY_TOKENS:
+        rows, docs = cut(rows), cut(docs)
+        blocks = -(-rows.count() // QUERY_TOKENS)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    docs, found = cut(docs) if blocks > 1 else docs, None
     for i in range(blocks):
-        part = (rows.where(block == i) if blocks > 1 else rows).toArrow()  # about QUERY_TOKENS rows
+        part = rows.where(block == i).toArrow() if blocks > 1 else few  # about QUERY_TOKENS rows
         if not part.num_rows:
             continue
         shared = spark.sparkContext.broadcast(part)

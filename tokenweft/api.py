@@ -10,8 +10,13 @@ from tokenweft.operators.indexes import CentroidIndex, CompressedIndex, FlatInde
 KINDS = {"flat": FlatIndex, "centroid": CentroidIndex, "compressed": CompressedIndex}
 
 
-def load_encoder(**options) -> encode.HashEncoder:
-    return encode.HashEncoder(**options)
+def load_encoder(spark: SparkSession | None = None, model: str | None = None, **options) -> encode.HashEncoder | encode.ModelEncoder:
+    """The hash encoder, or a model from its folder."""
+    if model is None:
+        return encode.HashEncoder(**options)
+    from tokenweft.sources.models import load_model
+
+    return load_model(spark or SparkSession.active(), model, **options)
 
 
 def new_index(spark: SparkSession, encoder, kind: str = "flat", **options):

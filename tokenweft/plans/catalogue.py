@@ -173,6 +173,7 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 DTOK = r"dt AS (SELECT doc_id, list_slice(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[^a-z0-9\s]'), 1, {n}) AS t FROM documents)"
 MARKED = "mk AS (SELECT doc_id, list_concat(list_concat({head}, t), ['[SEP]']) AS t FROM dt)"
 PLAIN = f"WITH {DTOK.format(n=180)}, tk AS (SELECT doc_id, unnest(range(len(t)))::INT AS tok_pos, unnest(t) AS token FROM dt)"
+WHOLE = r"WITH dt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+|[^a-z0-9\s]') AS t FROM documents), tk AS (SELECT doc_id, unnest(range(len(t)))::INT AS tok_pos, unnest(t) AS token FROM dt)"
 HASH16 = "list_transform(range(16), lambda i: (('0x' || substr(md5({t}), (i * 2 + 1)::INT, 2))::INT - 127.5::DOUBLE) / 127.5::DOUBLE)"
 
 
@@ -189,14 +190,14 @@ def tokenize_query_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 SKIP = ", ".join("'" + c.replace("'", "''") + "'" for c in encode.SKIPLIST)
 
 
-@registered(f"{PLAIN} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY tok_pos) - 1)::INT AS tok_pos, token FROM tk WHERE token NOT IN ({SKIP})")
+@registered(f"{WHOLE} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY tok_pos) - 1)::INT AS tok_pos, token FROM tk WHERE token NOT IN ({SKIP})")
 def skiplist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.skip_punctuation(encode.plain_tokens(table(spark, sf_dir, "documents")))
+    return encode.skip_punctuation(encode.plain_tokens(table(spark, sf_dir, "documents"), None))
 
 
-@registered(f"{PLAIN}, d AS (SELECT DISTINCT token FROM tk), r AS (SELECT token, {HASH16.format(t='token')} AS v FROM d), u AS (SELECT token, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS v FROM r) SELECT token, {vec('v')} AS vector FROM u")
+@registered(f"{WHOLE}, d AS (SELECT DISTINCT token FROM tk), r AS (SELECT token, {HASH16.format(t='token')} AS v FROM d), u AS (SELECT token, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-9)) AS v FROM r) SELECT token, {vec('v')} AS vector FROM u")
 def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = encode.plain_tokens(table(spark, sf_dir, "documents")).select("token").distinct()
+    tokens = encode.plain_tokens(table(spark, sf_dir, "documents"), None).select("token").distinct()
     return encode.HashEncoder().vectors(tokens).select("token", text("embedding").alias("vector"))
 
 

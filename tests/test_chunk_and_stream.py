@@ -4,8 +4,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tokenweft.operators import chunk, encode
-from tokenweft.operators.indexes import FlatIndex
-from tokenweft.streaming.upsert import upsert_into
+from tokenweft.operators.indexes import CentroidIndex, CompressedIndex, FlatIndex
+from tokenweft.streaming.upsert import current, delta_upsert, upsert_into
 
 
 def test_short_and_empty():
@@ -62,3 +62,27 @@ def test_stream_upserts_the_last_version(spark, tmp_path):
     assert first.where("doc_id = 1").count() == 5 and second.where("doc_id = 1").count() == 6 and second.where("doc_id = 2").count() == 4
     upsert_into(str(tmp_path / "index"), encoder)(spark.createDataFrame([(9, "again", 9)], schema), 1)  # a repeated batch changes nothing
     assert FlatIndex.load(spark, str(tmp_path / "index/1")).tokens.where("doc_id = 9").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["flat", "centroid", "compressed"])
+def test_deltas_give_the_same_index_as_one_snapshot(spark, tmp_path, kind):
+    path, schema, encoder = str(tmp_path / "index"), "doc_id long, text string, ts long", encode.HashEncoder()
+    batches = [[(1, "cats chase mice", 1), (2, "dogs bark", 1)], [(1, "spark joins", 2), (1, "spark joins tables", 3)], [], [(3, "birds sing", 4)], [(2, "dogs sleep", 5), (4, None, 5)]]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    first = encode.encode_documents(frames[0], encoder).select("doc_id", "tok_pos", "embedding")
+    start = {"flat": None, "centroid": CentroidIndex.new(spark, encoder.dim, 3), "compressed": CompressedIndex(encoder.dim, 8, 3, 4).train(first)}[kind]
+    run = delta_upsert(path, encoder, start, every=2)
+    for n, frame in enumerate(frames):
+        run(frame, n)
+        run(frame, n)  # a repeated batch
+    assert {p.name for p in (tmp_path / "index").iterdir()} == {"2", "3-delta", "4-delta", "4"}
+    got = current(spark, path)
+    assert {(r["doc_id"], r["n"]) for r in got.tokens.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} == {(1, 6), (2, 5), (3, 5), (4, 3)}
+    queries = encode.encode_queries(spark.createDataFrame([(1, "spark tables"), (2, "dogs sleep"), (3, "mice")], "query_id long, text string"), encoder)
+    options = {} if kind == "flat" else {"nprobe": 3}
+    top1 = {r["query_id"]: r["doc_id"] for r in got.search(queries, 1, **options).collect()}
+    assert top1[1] == 1 and top1[2] == 2
+    if kind != "flat":
+        assert {r["doc_id"] for r in got.postings.select("doc_id").collect()} == {1, 2, 3, 4} and got.postings.distinct().count() == got.postings.count()
+    with pytest.raises(ValueError, match="no snapshot"):
+        current(spark, str(tmp_path / "none"))

@@ -165,3 +165,10 @@ def test_feedback(spark):
     more = retrieve.expanded(q, expansion, 0.5).orderBy("q_pos").collect()
     assert len(more) == 3 and max(np.linalg.norm(r["embedding"]) for r in more[1:]) <= 0.5
     assert retrieve.search_with_feedback(q, index, index.tokens, 2).count() == 2
+
+
+def test_training_on_repeated_vectors(spark):
+    same = tokens(spark, {i: [(1, 0, 0)] * 9 + [(0, 1, 0)] * 5 + [(0, 0, 1)] for i in range(20)})
+    for k, seed in [(2, 1), (3, 2), (3, 3), (8, 4)]:
+        got = [tuple(r["vector"]) for r in kmeans.train(same, k, seed=seed).collect()]
+        assert len(got) == min(k, 3) and (k == 2 or {tuple(round(x, 6) + 0.0 for x in v) for v in got} == {(1, 0, 0), (0, 1, 0), (0, 0, 1)})

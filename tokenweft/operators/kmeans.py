@@ -75,13 +75,15 @@ def lloyd(vectors: DataFrame, centroids: DataFrame, iterations: int = 10, normal
 
 
 def train(vectors: DataFrame, k: int, iterations: int = 10, seed: int = 42, normalize: bool = True, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(centroid_id, vector) by the library's K-means on at most `rows` vectors; at most as many centroids as vectors."""
+    """(centroid_id, vector) by the library's K-means on at most `rows` vectors; at most as many centroids as different vectors.
+
+    Equal vectors train as one of their number's weight: the library's start drops equal samples and then misses centroids."""
     n, by = vectors.count(), F.xxhash64(*vectors.columns)
     some = vectors.withColumn("_h", by)
     if n > 4 * rows:  # only hashes below twice the wanted share are sorted, so the last task sees a few times `rows` vectors at any size
         some = some.where(F.col("_h") <= F.lit(-(1 << 63) + int((1 << 64) * (2 * rows + 1000) / n)).cast("long"))
-    sample = some.orderBy("_h").limit(rows).select("embedding")
-    data = cut(sample).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    sample = some.orderBy("_h").limit(rows).groupBy(F.col("embedding").cast("array<double>").alias("embedding")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    data = cut(sample.orderBy(F.xxhash64("embedding"))).select(array_to_vector("embedding").alias("features"), "weight")
     k = min(k, data.count())
     if k < 1:
         return vectors.sparkSession.createDataFrame([], "centroid_id int, vector array<double>")
@@ -89,6 +91,6 @@ def train(vectors: DataFrame, k: int, iterations: int = 10, seed: int = 42, norm
         one = vectors.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
         found = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")).select(F.lit(0).alias("centroid_id"), "vector")
     else:
-        centers = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed).fit(data).clusterCenters()
+        centers = KMeans(k=k, initMode="random", maxIter=iterations, seed=seed, weightCol="weight").fit(data).clusterCenters()
         found = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "centroid_id int, vector array<double>")
     return normalized(found) if normalize else found

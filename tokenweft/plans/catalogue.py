@@ -546,6 +546,19 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_documents(table(spark, sf_dir, "documents"))
 
 
+@registered("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS ws FROM documents)
+SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT AS n_covered, true AS within_size FROM w WHERE len(ws) > 0""")
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document its distinct words, those that stand whole in a chunk, and whether all chunks keep to the size."""
+    docs = table(spark, sf_dir, "documents")
+    cut_up = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    words = docs.select("doc_id", F.explode(F.array_distinct(cut_up(F.col("text")))).alias("word"))
+    chunks = chunk.chunk_documents(docs).select("doc_id", cut_up(F.col("text")).alias("ws"), (F.length("text") <= chunk.SIZE).alias("fits"))
+    found = chunks.select("doc_id", "fits", F.explode("ws").alias("word")).groupBy("doc_id", "word").agg(F.min("fits").alias("fits"))
+    both = words.join(found, ["doc_id", "word"], "left").groupBy("doc_id")
+    return both.agg(F.count(F.lit(1)).alias("n_words"), F.count("fits").alias("n_covered"), F.min(F.coalesce("fits", F.lit(True))).alias("within_size"))
+
+
 FIXED = "fx AS (SELECT doc_id, unnest(range(ceil(length(text) / 500.0)::BIGINT))::INT AS chunk_index, text FROM documents WHERE length(text) > 0), ch AS (SELECT doc_id || '__chunk_' || chunk_index AS chunk_id, doc_id, chunk_index, substr(text, chunk_index * 500 + 1, 500) AS text FROM fx)"
 
 

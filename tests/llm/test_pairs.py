@@ -155,6 +155,21 @@ def test_keep_one_where_an_id_is_in_two_classes(spark):
     assert sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"]) for r in got) == [(-1, rows[4][1]), (3, b), (5, a), (9, rows[6][1])]
 
 
+def test_only_texts_that_may_go_are_shuffled(spark, docs, rows, monkeypatch):
+    text = "one row of two has this very text and stays or goes with it"
+    df = spark.createDataFrame([(i, text if i in (1, 2) else f"{i} " * 9) for i in range(50)], "doc_id long, text string")
+    some, others = near_join.parted(df, near_join.text_hash("text"), df.where("doc_id = 1").select(near_join.text_hash("text")))
+    assert sorted(r["doc_id"] for r in some.collect()) == [1, 2] and others.count() == 48
+    found = near_join.classes(docs)
+    both = []
+    for most in (4_000_000, 0):  # the keys travel; there are too many
+        monkeypatch.setattr("tokenweft.llm._common.SHIPPED", most)
+        both.append(sorted(map(repr, near_join.keep_one(docs, found).select("doc_id", "text").collect())))
+        assert near_join.parted(df, near_join.text_hash("text"), df.select(near_join.text_hash("text")))[1] is None or most
+        assert sorted(map(repr, near_join.classes(docs).drop("root").collect())) == sorted(map(repr, found.drop("root").collect()))
+    assert both[0] == both[1]
+
+
 def test_components_with_hubs(spark, monkeypatch):
     """A hub goes another way than other nodes; the roots are the same."""
     import importlib

@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +125,35 @@ def text_runs(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_00
         yield batch.slice(a, b - a)
 
 
+#: Keys that may travel to every task: 32 MB of longs.
+SHIPPED = 4_000_000
+
+
+def shipped(keys: DataFrame, most: int | None = None) -> Broadcast | None:
+    """The distinct values of a frame's one column of longs, sorted, for every task; None where there are more than `most`.
+
+    All keys or none, so whoever gets None joins instead and has the same rows.
+    """
+    keys = stored(keys.dropna().distinct())
+    if keys.count() > (SHIPPED if most is None else most):
+        return None
+    return keys.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
+
+
+def among(known: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Whether each long of a column is one of the sorted keys; nulls are not."""
+    if not len(known):
+        return np.zeros(len(column), bool)
+    values = column.fill_null(0).to_numpy(zero_copy_only=False)
+    found = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    return found & column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def is_shipped(key: Column, known: Broadcast) -> Column:
+    """Whether a column of longs is one of the shipped keys; only that column goes to Python."""
+    return F.arrow_udf(lambda column: pa.array(among(known.value, column)), "boolean")(key)
+
+
 def quantiles(df: DataFrame, key: str, rows_per_bucket: int, most: int) -> tuple[list, list]:
     """(bounds that deal the values of an integer column into ordered buckets of similar size, values that fill a bucket alone).
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import mapped, stored, text_runs
+from tokenweft.llm._common import attach, is_shipped, mapped, shipped, stored, text_runs
 from tokenweft.llm.components import components, join_hubs
 from tokenweft.llm.words import grams, word_table, words
 
@@ -337,10 +337,23 @@ def _exact(threshold: float):
     return run
 
 
+def parted(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that may have one of the keys, the others); (all rows, None) where the keys are too many to travel.
+
+    Keys are hashes, so the first rows still take the exact join; the others need none, and their texts are not shuffled.
+    """
+    attach(docs.sparkSession)
+    known = shipped(keys)
+    if known is None:
+        return docs, None
+    return docs.where(is_shipped(key, known)), docs.where(~is_shipped(key, known))
+
+
 def exact_links(docs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
     """(rep, links, root) rows, one for each unit a set is in; members: rep, doc_id, key_a, key_b, component, blocks."""
-    # a merge join at every size: the members grow with the input, so they are never broadcast
-    texts = docs.select(F.col("doc_id").alias("at"), "text").join(members.hint("merge"), F.col("at").eqNullSafe(F.col("doc_id")))
+    # a merge join at every size: the members grow with the input, so they are never broadcast; texts whose ids none of them has stay out of its shuffle
+    some, _ = parted(docs.select(F.col("doc_id").alias("at"), "text"), F.xxhash64("at"), members.select(F.xxhash64("doc_id")))
+    texts = some.join(members.hint("merge"), F.col("at").eqNullSafe(F.col("doc_id")))
     sets = mapped(texts.select("rep", "component", "blocks", "key_a", "key_b", "text"), _keyed_sets(width), "rep long, component long, blocks int, found binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     units = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -386,16 +399,20 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of docs for each class of found = classes(docs): of the least doc_id (a row without an id only where the class has none),
     and of rows that share this id that of the least hash of the text; of rows equal in both one stays, whichever comes first.
 
-    What goes is found by (doc_id, hash), so that a row whose id stands in another class too keeps its own class's decision.
+    What goes is found by (doc_id, hash), so that a row whose id stands in another class too keeps its own class's decision. Rows with no such
+    pair are passed on where they are; only the texts of those that may go are shuffled.
     """
     rows = stored(found.select("root", "doc_id", "h"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("b"), F.count(F.lit(1)).alias("n"))
     marked = stored(join_hubs(rows, stored(least.where("n > 1")), "root", rows.count()))  # a class of one row loses nothing
     best = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("h") == F.col("b.h"))
-    going = marked.where(~best).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    going = stored(marked.where(~best).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
     again = stored(marked.where(best).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     same = lambda df: docs["doc_id"].cast("long").eqNullSafe(df["_id"]) & (text_hash(docs["text"].cast("string")) == df["_h"])
-    kept = docs.join(going, same(going), "left_anti")
+    key = F.xxhash64(F.col("doc_id").cast("long"), text_hash(F.col("text").cast("string")))
+    some, others = parted(docs, key, going.select(F.xxhash64("_id", "_h")))
+    kept = some.join(going, [some["doc_id"].cast("long").eqNullSafe(going["_id"]), text_hash(some["text"].cast("string")) == going["_h"]], "left_anti")
+    kept = kept if others is None else kept.unionByName(others)
     if again.isEmpty():
         return kept
     once = docs.join(again, same(again), "left_semi").withColumn("_k", text_hash(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_k"]).drop("_k")

@@ -54,6 +54,12 @@ def test_ratio_by_hand(docs, rows, labels):
     assert ratios == pytest.approx(np.log((target + 0.5) / (target.sum() + 128)) - np.log((raw + 0.5) / (raw.sum() + 128)), abs=1e-5)
 
 
+def test_every_trusted_document_counts(spark, docs, labels):
+    many = spark.range(20_500).selectExpr("id as doc_id", "concat('w', id, ' x') as text")
+    assert not quality_rules.fit(many, many.selectExpr("doc_id", "1 as quality"), bits=8).any()  # the target is the raw corpus
+    assert (quality_rules.fit(docs, labels, bits=8) == quality_rules.fit(docs, labels, bits=8, max_shipped=0)).all()
+
+
 def test_no_trusted_rows_leave_base_rules_alone(docs, labels):
     got = quality_rules.rules(docs, labels.limit(0)).collect()
     assert all(r["llr"] == 0 and r["kept"] != r["base_failed"] for r in got)

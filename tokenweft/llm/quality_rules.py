@@ -5,8 +5,8 @@ documents labelled good, and the raw corpus, from every document. A document's s
 n-grams of log p_target - log p_raw; it is kept if no base rule fails and the score reaches a fixed threshold.
 
 The raw counts cover all documents: every task sums its own into a sparse vector of at most 2**bits entries,
-which Spark adds up before 2**bits sums go to the driver. The target is fitted on at most `max_trusted` labelled
-rows, the first by a hash of their id. Both sizes are bounds that do not grow with the input.
+which Spark adds up before 2**bits sums go to the driver. The target counts every document labelled good, in the same pass. Up to
+`max_shipped` trusted ids travel to all tasks as sorted longs; more of them are joined, which shuffles the texts.
 
 Cases: null and empty texts have no words and fail the base rules; no trusted rows at all give a ratio of 0 for
 every document, so that only base rules decide; equal doc_ids are scored separately; other columns, whatever
@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweft.llm._common import filtered, hash_sample, mapped, text_runs
+from tokenweft.llm._common import SHIPPED, among, filtered, mapped, shipped, text_runs
 from tokenweft.llm.words import Block, mix, word_table
 
 #: Fixed values of the base rules.
@@ -30,7 +31,6 @@ MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 50, 50, 3
 
 BITS = 16
 THRESHOLD = -0.5
-MAX_TRUSTED = 20_000
 
 
 def duplicate_lines(text: str) -> int:
@@ -59,8 +59,8 @@ def repeated_words(block: Block) -> np.ndarray:
     return np.bincount(block.doc[cover], minlength=len(block.texts))
 
 
-def _count(bits: int):
-    """(bucket, raw, target) sums of a task."""
+def _count(bits: int, known: Broadcast | None):
+    """(bucket, raw, target) sums of a task over (doc_id, text), or (trusted, text) where the ids are not shipped."""
 
     def run(batches):
         table, size = word_table(True), 1 << bits
@@ -69,7 +69,7 @@ def _count(bits: int):
             for batch in text_runs(whole):
                 buckets, doc = Block(table, batch.column("text").to_pylist()).features(bits)
                 raw += np.bincount(buckets, minlength=size)
-                good = batch.column("trusted").to_numpy(zero_copy_only=False)
+                good = batch.column("trusted").to_numpy(zero_copy_only=False) if known is None else among(known.value, batch.column("doc_id"))
                 if good.any():
                     target += np.bincount(buckets[good[doc]], minlength=size)
         at = np.flatnonzero(raw)
@@ -78,17 +78,20 @@ def _count(bits: int):
     return run
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """At most `most` ids of rows labelled good (1 by every label row of that id), the first by a hash of the id."""
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1 and doc_id is not null")
-    return hash_sample(good, "doc_id", most).select("doc_id", F.lit(True).alias("trusted"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all rows labelled good (1 by every label row of that id)."""
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
+    return good.where("q = 1 and doc_id is not null").select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_shipped: int = SHIPPED) -> np.ndarray:
     """log p_target - log p_raw for each bucket, both smoothed by one count spread over all buckets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = rows.join(F.broadcast(trusted_ids(labels, max_trusted)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    sums = mapped(marked, _count(bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    good = trusted_ids(labels)
+    known = shipped(good, max_shipped)
+    if known is None:
+        marked = marked.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    sums = mapped(marked, _count(bits, known), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     got = sums.toPandas()  # at most 2**bits rows
     raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
@@ -132,8 +135,8 @@ def score(docs: DataFrame, ratios: np.ndarray, bits: int = BITS, threshold: floa
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _OUT_SQL)
 
 
-def rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    return score(docs, fit(docs, labels, bits, max_trusted), bits, threshold)
+def rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
+    return score(docs, fit(docs, labels, bits), bits, threshold)
 
 
 def keep(docs: DataFrame, ratios: np.ndarray, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:

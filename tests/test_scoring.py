@@ -148,6 +148,29 @@ def test_blocks_of_queries_give_the_rows_of_one(spark, monkeypatch):
     assert found() == one
 
 
+def test_kernel_in_pieces_gives_the_rows_of_one(monkeypatch):
+    import pyarrow as pa
+
+    from tokenweft.operators import kernel
+
+    rng = np.random.default_rng(5)
+    counts = [3, 0, 9, 1, 40, 2, 2, 7, 1, 5]
+    vectors = [rng.integers(-2, 3, (n, 4)).astype(float).tolist() for n in counts]  # many ties
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i * 7 % 10}" for i in range(10)]), pa.array(vectors, pa.list_(pa.list_(pa.float64())))], names=["doc_id", "embeddings"])
+    rows = [(i, j, 1.0 + j, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(6) for j in range(4)]
+    q = kernel.Queries(pa.table({n: [r[k] for r in rows] for k, n in enumerate(("query_id", "q_pos", "weight", "embedding"))}))
+    for top_k in (None, 3):
+        seen = []
+        for cells in (4_000_000, 512 * 5, 60):
+            monkeypatch.setattr(kernel, "CELLS", cells)
+            most, piece = [], kernel._piece
+            monkeypatch.setattr(kernel, "_piece", lambda q, flat, n, most=most, piece=piece: most.append((len(flat), len(n))) or piece(q, flat, n))
+            seen.append(sorted(tuple(r.values()) for b in kernel._scored(q, batch, top_k, pa.string(), 6) for r in b.to_pylist()))
+            monkeypatch.setattr(kernel, "_piece", piece)
+            assert all(d == 1 or t <= max(cells // 512, 1) and d * 24 <= cells for t, d in most)
+        assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 6 * (top_k or 9)
+
+
 def test_reports_round_as_the_sql_does(spark):
     import duckdb
 

@@ -39,10 +39,23 @@ def batch_rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, t
     return rerank(candidates, queries, tokens, top_k)
 
 
+def encode_nested(texts: DataFrame, encoder) -> DataFrame:
+    """(doc_id, embeddings) of (doc_id, text), for scoring alone: the vectors of a text's distinct tokens are made inside its row, so none is shuffled.
+
+    Rows that share an id are one document: where there are any, tokens are gathered by id before they are encoded. A model's vectors are nested afterwards.
+    """
+    if not isinstance(encoder, encode.HashEncoder):
+        return nest(encode.encode_documents(texts, encoder))
+    rows = texts.select("doc_id", F.array_distinct(encode.token_array("text", "document", encoder.max_doc)).alias("tokens"))
+    if not texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rows = rows.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    return rows.select("doc_id", F.transform("tokens", lambda t: encode.hash_vector(t, encoder.dim)).alias("embeddings"))
+
+
 def rerank_texts(queries: DataFrame, texts: DataFrame, encoder, top_k: int | None = None) -> DataFrame:
     """Ranks raw texts (doc_id, text) for queries (query_id, text), encoding both on the way."""
     q = encode.encode_queries(queries, encoder)
-    return top(max_sim(nest(encode.encode_documents(texts, encoder)), q, top_k), top_k)
+    return top(max_sim(encode_nested(texts, encoder), q, top_k), top_k)
 
 
 def expansion_tokens(results: DataFrame, queries: DataFrame, tokens: DataFrame, n: int = 10) -> DataFrame:

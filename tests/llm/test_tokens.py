@@ -243,3 +243,32 @@ def test_plans_are_no_longer_than_best_fit():
     rng = np.random.default_rng(4)
     for sizes in (rng.integers(1, 2049, 4000), rng.integers(600, 1100, 4000), np.minimum(2048, rng.lognormal(6, 1, 4000).astype(int) + 1)):
         assert packing.plan(np.bincount(sizes, minlength=2049))[1] <= best_fit(sizes.tolist(), 2048)
+
+
+def test_recipes_are_read_without_payloads(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    store.write_store(docs.where("doc_id < 30"), path, LIBRARY, average=16, longest=64)
+    parts = spark.read.parquet(f"{path}/parts")
+    assert parts.where("kind = 0 and (payload is not null or links is null)").isEmpty()
+    assert parts.where("kind = 1 and (payload is null or links is not null)").isEmpty()
+
+
+def test_checked_chunks_of_both_widths():
+    import pyarrow as pa
+
+    streams = [np.arange(5, 5 + n, dtype="<u4") for n in (3, 1, 8)] + [np.array([70_000, 1], "<u4")]
+    widths = [2, 4, 2, 4]
+    rows = {"key": [store.digest(x.tobytes()) for x in streams], "width": widths, "n_ids": [len(x) for x in streams], "payload": [x.astype(f"<u{w}").tobytes() for x, w in zip(streams, widths, strict=True)]}
+    batch = pa.RecordBatch.from_pydict(rows)
+    found = {r["digest"]: (r["n"], r["crc"]) for b in store._checked([batch, batch.slice(1, 2), batch.slice(0, 0)]) for r in b.to_pylist()}
+    assert found == {store.digest(x.tobytes()): (len(x), zlib.crc32(x.tobytes())) for x in streams}
+    for odd in ({"n_ids": [3, 1, 7, 2]}, {"width": [2, 4, 8, 4]}, {"payload": [b"", *rows["payload"][1:]]}):
+        with pytest.raises(ValueError):
+            list(store._checked([pa.RecordBatch.from_pydict(rows | odd)]))
+
+
+def test_crc_shift_over_long_tails():
+    crc = np.array([zlib.crc32(b"head"), 0, zlib.crc32(b"x")])
+    tails = [bytes(1 << 20), b"abc", bytes(range(256)) * 5000]
+    shifted = store.crc_shift(crc, np.array([len(t) for t in tails]))
+    assert [int(a) ^ zlib.crc32(t) for a, t in zip(shifted, tails, strict=True)] == [zlib.crc32(h + t) if h else zlib.crc32(t) for h, t in zip((b"head", b"", b"x"), tails, strict=True)]

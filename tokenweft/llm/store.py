@@ -8,8 +8,8 @@ documents in order, each of which stands for its doc_id, place, length and recip
 Reading checks every chunk against its digest, every recipe against its root, every link's length against its chunk's,
 and all of it against the manifest before anything is returned.
 
-Layout below the store's folder: parts/ (chunks: digest, width, n_ids, payload; and recipes before they are placed),
-recipes/, manifest/. Ids are little-endian, two bytes wide where all ids of a chunk fit, else four.
+Layout below the store's folder: parts/ (chunks: digest, width, n_ids, payload; and recipes, their links in a column of
+their own, before they are placed, so that reading recipes leaves the payloads alone), recipes/, manifest/. Ids are little-endian, two bytes wide where all ids of a chunk fit, else four.
 
 Cases: a null text is an empty one and still gets its end id; null doc_ids come first; equal doc_ids are kept
 as separate rows, ordered by content; an empty table gives empty files and an empty result; other columns of
@@ -77,12 +77,17 @@ def unpack(width: int, payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, f"<u{width}").astype("<u4")
 
 
-_PARTS = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("root", pa.binary()), ("width", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-_PARTS_SQL = "kind int, key binary, doc_id long, root binary, width int, n_ids long, payload binary"
+_PARTS = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("root", pa.binary()), ("width", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("links", pa.binary())])
+_PARTS_SQL = "kind int, key binary, doc_id long, root binary, width int, n_ids long, payload binary, links binary"
+
+
+def _part_rows(n: int, **columns) -> pa.RecordBatch:
+    """n rows of _PARTS; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _PARTS], schema=_PARTS)
 
 
 def _parts(path: str, end_id: int, average: int, longest: int):
-    """kind 0: a recipe (key: its place among the task's rows, payload: chunk digests, then lengths); kind 1: a chunk of a block (key: its digest)."""
+    """kind 0: a recipe (key: its place among the task's rows, links: chunk digests, then lengths); kind 1: a chunk of a block (key: its digest)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -92,20 +97,41 @@ def _parts(path: str, end_id: int, average: int, longest: int):
             for batch in text_runs(whole, limit=3_000_000):
                 ids, sizes = ended(*encoder.block(batch.column("text")), end_id)
                 starts = np.cumsum(sizes) - sizes
-                data = ids.tobytes()
+                data = memoryview(ids).cast("B")
                 ends = cut_points(ids, starts, average, longest)
                 lengths = np.diff(ends, prepend=0)
-                digests = [digest(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                digests = [digest(data[b:e]) for b, e in zip((4 * (ends - lengths)).tolist(), (4 * ends).tolist(), strict=True)]
                 width = 2 if int(ids.max()) < 1 << 16 else 4
-                stored_ids = ids.astype(f"<u{width}").tobytes()
-                once = {d: (e, n) for d, e, n in zip(digests, ends.tolist(), lengths.tolist(), strict=True)}
-                rows = [(1, d, None, None, width, n, stored_ids[width * (e - n) : width * e]) for d, (e, n) in once.items()]
-                links, last = lengths.astype("<u4"), 0
-                for doc_id, to, n in zip(batch.column("doc_id").to_pylist(), np.searchsorted(ends, starts + sizes, "right").tolist(), sizes.tolist(), strict=True):
+                once = dict(zip(digests, range(len(digests)), strict=True))
+                at_once = np.fromiter(once.values(), np.int64, len(once))
+                payloads = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends) * width), pa.py_buffer(ids.astype(f"<u{width}"))])
+                n = len(once)
+                yield _part_rows(
+                    n,
+                    kind=pa.array(np.ones(n, np.int32)),
+                    key=pa.array(once, pa.binary()),
+                    width=pa.array(np.full(n, width, np.int32)),
+                    n_ids=pa.array(lengths[at_once]),
+                    payload=payloads.take(pa.array(at_once)).cast(pa.binary()),
+                )
+                joined, last, roots, links = lengths.astype("<u4"), 0, [], []
+                for to in np.searchsorted(ends, starts + sizes, "right").tolist():
                     own = digests[last:to]
-                    rows.append((0, b"%d:%d" % (part, at), doc_id, merkle(own), 0, n, b"".join(own) + links[last:to].tobytes()))
-                    last, at = to, at + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
+                    roots.append(merkle(own))
+                    links.append(b"".join(own) + joined[last:to].tobytes())
+                    last = to
+                n = len(roots)
+                yield _part_rows(
+                    n,
+                    kind=pa.array(np.zeros(n, np.int32)),
+                    key=pa.array([b"%d:%d" % (part, i) for i in range(at, at + n)], pa.binary()),
+                    doc_id=batch.column("doc_id"),
+                    root=pa.array(roots, pa.binary()),
+                    width=pa.array(np.zeros(n, np.int32)),
+                    n_ids=pa.array(sizes),
+                    links=pa.array(links, pa.binary()),
+                )
+                at += n
 
     return run
 
@@ -137,7 +163,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     # a chunk that a third of all documents share comes once from each block; recipes have keys of their own
     parts.repartition("key").dropDuplicates(["key"]).write.option("compression", "zstd").parquet(f"{path}/parts")
 
-    rough = _read_parts(spark, path, 0).select("doc_id", "root", F.col("n_ids").alias("n_tokens"), F.col("payload").alias("links"))
+    rough = _read_parts(spark, path, 0).select("doc_id", "root", F.col("n_ids").alias("n_tokens"), "links")
     order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.xxhash64("links")]
     buckets = min(MOST_BUCKETS, rough.count() // BUCKET_ROWS + 1)
     # equal and null doc_ids are parted by their roots, so that no bucket is hot for them
@@ -197,14 +223,26 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+_shifts: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _shift_tables(k: int) -> np.ndarray:
+    """What each byte of a crc32 value, the lowest first, becomes once 2**k more bytes follow."""
+    while len(_shifts) <= k:
+        power = _times(_shifts[-1][0], _shifts[-1][0]) if _shifts else np.array([1 << 23], np.uint64)  # x to the power 8, reflected
+        values = (np.arange(256, dtype=np.uint64) << np.arange(0, 32, 8, dtype=np.uint64)[:, None]).ravel()
+        _shifts.append((power, _times(values, np.repeat(power, len(values))).reshape(4, 256)))
+    return _shifts[k][1]
+
+
 def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """crc32 values as they count once n_bytes more bytes follow: crc32(a + b) = crc_shift(crc32(a), len(b)) ^ crc32(b)."""
-    crc, left = crc.astype(np.uint64), n_bytes.astype(np.uint64).copy()
-    power = np.array([1 << 23], np.uint64)  # x to the power 8, reflected
+    crc, left, k = crc.astype(np.uint64), n_bytes.astype(np.uint64).copy(), 0
     while left.any():
-        odd = (left & np.uint64(1)).astype(bool)
-        crc[odd] = _times(crc[odd], np.repeat(power, odd.sum()))
-        power, left = _times(power, power), left >> np.uint64(1)
+        odd = np.flatnonzero(left & np.uint64(1))
+        old, tables = crc[odd].astype(np.int64), _shift_tables(k)
+        crc[odd] = tables[0][old & 255] ^ tables[1][old >> 8 & 255] ^ tables[2][old >> 16 & 255] ^ tables[3][old >> 24]
+        left, k = left >> np.uint64(1), k + 1
     return crc
 
 
@@ -212,15 +250,24 @@ _CHECKED = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("crc", pa.int
 
 
 def _checked(batches):
+    """(digest, n, crc32) of each chunk; the payloads of a batch are widened together."""
     for batch in batches:
-        out = []
-        for d, width, n, payload in zip(*(batch.column(c).to_pylist() for c in ("key", "width", "n_ids", "payload")), strict=True):
-            data = unpack(width, payload).tobytes()
-            if digest(data) != d or len(data) != 4 * n:
-                raise ValueError(f"chunk {d.hex()} does not match its digest")
-            out.append((d, n, zlib.crc32(data)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CHECKED.types, strict=True)], schema=_CHECKED)
+        widths = batch.column("width").to_numpy(zero_copy_only=False)
+        for width in np.unique(widths).tolist():
+            own = batch.filter(pa.array(widths == width))
+            payloads = own.column("payload").cast(pa.large_binary())
+            bounds = np.frombuffer(payloads.buffers()[1], np.int64)[payloads.offset : payloads.offset + len(payloads) + 1]
+            keys, n = own.column("key").to_pylist(), own.column("n_ids").to_numpy()
+            wrong = np.diff(bounds) != width * n
+            if width not in (2, 4) or wrong.any():
+                raise ValueError(f"chunk {keys[int(np.argmax(wrong))].hex()} does not match its digest")
+            data = memoryview(np.frombuffer(payloads.buffers()[2], f"<u{width}", int(n.sum()), int(bounds[0])).astype("<u4")).cast("B")
+            ends, crcs = 4 * np.cumsum(n), []
+            for d, b, e in zip(keys, (ends - 4 * n).tolist(), ends.tolist(), strict=True):
+                if digest(data[b:e]) != d:
+                    raise ValueError(f"chunk {d.hex()} does not match its digest")
+                crcs.append(zlib.crc32(data[b:e]))
+            yield pa.RecordBatch.from_arrays([own.column("key"), pa.array(n), pa.array(crcs, pa.int64())], schema=_CHECKED)
 
 
 _LINKS = pa.schema([("bucket", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tail", pa.int64())])

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tokenweft.llm import near_join, order_minhash, tool_calls
 from tokenweft.llm.components import components
@@ -78,6 +79,33 @@ def test_join_of_large_groups(spark, monkeypatch):
     assert join_rows(df) == ordered(classes_by_hand(rows))
 
 
+def test_long_near_copies_are_compared_in_ranges(spark, monkeypatch):
+    """No task holds all shingles of a unit of long sets, in one block and in several, and every link is still counted."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = rng.choices(words, k=1500), []
+    for i in range(30):
+        w = list(base)
+        for _ in range(rng.randrange(1, 40)):
+            w[rng.randrange(1500)] = rng.choice(words)
+        rows.append((i, " ".join(w), None))
+    rows += [(100, rows[3][1], None), (3, rows[3][1], None), (101, "short", None), (102, "short", None)]
+    df, dealt, mapped = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), [], near_join.mapped
+
+    def seen(rows, f, schema):
+        dealt.extend([rows] if {"unit", "found"} <= {*rows.columns} else [])
+        return mapped(rows, f, schema)
+
+    monkeypatch.setattr(near_join, "SPAN", 2000, raising=False)
+    monkeypatch.setattr(near_join, "mapped", seen)
+    for block in (800, 12):
+        monkeypatch.setattr(near_join, "BLOCK", block)
+        assert join_rows(df) == ordered(classes_by_hand(rows))
+        parts = dealt.pop()
+        held = parts.groupBy([c for c in parts.columns if c in ("unit", "part")]).agg(F.sum(F.length("found")).alias("bytes"))
+        assert held.agg(F.max("bytes")).first()[0] < 2 * 8 * 2000
+
+
 def fringe_rows(group, pairs):
     """A group of near copies; texts a little like it, each with a near copy that is not like the group."""
     rng = random.Random(8)

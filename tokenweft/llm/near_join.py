@@ -14,7 +14,8 @@ force, those over LIMIT are split again, each into several children by further s
    need no comparison, so a large group of near copies costs little more than its chunks, and no task holds a large group.
 3. Components of those links contain every true class. Inside each, exact set intersections decide: a component
    is cut into blocks of about BLOCK sets, every pair of blocks is one task's unit, and what it returns is each
-   set's number of links and its local root - never the pairs. Components of these exact links are the classes.
+   set's number of links and its local root - never the pairs. Long sets travel in slices by ranges of their hashes, and a unit adds up
+   its intersections range by range, so that a task holds about SPAN shingles however long the texts are. Components of these exact links are the classes.
 
 The result has one row for each document: class_id (least doc_id of the class), n_links (different texts, that is
 representatives, with similarity >= threshold), n_copies (documents with this document's very set), class_size
@@ -42,6 +43,8 @@ from tokenweft.llm.words import grams, word_table, words
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.99999
 COORDINATES, LIMIT, CHILDREN, BLOCK = 128, 1000, 3, 800
+#: Shingles of a unit that a task holds at once (8 bytes each, and about ten times that for their intersections).
+SPAN = 1_000_000
 _RUN = np.uint64(127)  # the low bits of a path: its run
 
 _seeds = np.random.default_rng(20_240_601)
@@ -279,23 +282,47 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def cut_ranges(found: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The slices of a sorted set that lie in each of `parts` equal ranges of the hashes."""
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    return np.split(found, np.searchsorted(found, edges))
+
+
 def _keyed_sets(width: int):
-    """The shingle set of each joined text, kept where it is the wanted one (doc_ids may repeat)."""
+    """The shingle set of each joined text in slices, kept where it is the wanted one (doc_ids may repeat). Slice 0 always comes; others only with shingles."""
 
     def run(batches):
         for whole in batches:
             for batch in text_runs(whole):
-                keep, sets = [], []
-                for text, a, b in zip(batch.column("text").to_pylist(), batch.column("key_a").to_pylist(), batch.column("key_b").to_pylist(), strict=True):
+                rows, part, n, sets = [], [], [], []
+                for i, (text, a, b, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "key_a", "key_b", "parts")), strict=True)):
                     found = shingles(text, width)
-                    keep.append(set_key(found) == (a, b))
-                    sets.append(found.tobytes() if keep[-1] else b"")
-                out = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("component"), batch.column("blocks"), pa.array(sets, pa.binary())], names=["rep", "component", "blocks", "found"])
-                yield out.filter(pa.array(keep))
+                    if set_key(found) != (a, b):
+                        continue
+                    for p, piece in enumerate(cut_ranges(found, parts)):
+                        if not p or len(piece):
+                            rows.append(i)
+                            part.append(p)
+                            n.append(len(found))
+                            sets.append(piece.tobytes())
+                own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("rep", "component", "blocks")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "component", "blocks", "part", "n", "found"])
 
     return run
 
 
+def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The 64-bit numbers in each row of a column of bytes, not copied."""
+    out = []
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = chunk.buffers()[2]
+        flat = np.frombuffer(data, np.uint8)[: ends[-1]].view(np.uint64) if data is not None and len(chunk) and ends[-1] else np.empty(0, np.uint64)
+        out += [flat[a:b] for a, b in zip((ends[:-1] // 8).tolist(), (ends[1:] // 8).tolist(), strict=True)]
+    return out
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections: a product over the shingles that at least two sets have."""
     flat = np.concatenate(sets)
@@ -315,24 +342,35 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _linked(unit: tuple, threshold: float) -> pa.RecordBatch:
+    """(rep, links, root) of each set of a unit: its reps, blocks, sizes and intersections, and whether only pairs of two blocks count."""
+    r, blk, n, both, cross = unit
+    with np.errstate(invalid="ignore", divide="ignore"):
+        linked = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
+    np.fill_diagonal(linked, False)
+    counted = linked & (blk[:, None] != blk[None, :]) if cross else linked
+    return pa.RecordBatch.from_arrays([pa.array(r), pa.array(counted.sum(1).astype(np.int64)), pa.array(r[union(linked)])], names=["rep", "links", "root"])
+
+
 def _exact(threshold: float):
-    """(rep, links, root) of each set in each pair of blocks."""
+    """(rep, links, root) of each set in each pair of blocks, from rows sorted by unit and part."""
 
     def run(batches):
-        for table in _groups(batches, "unit"):
-            unit, rep, block, cross = (table.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "rep", "block", "cross"))
-            found = table.column("found").to_pylist()
-            for s, e in _spans(unit):
-                _, first = np.unique(rep[s:e], return_index=True)  # ascending; a text that came twice counts once
-                r, blk = rep[s:e][first], block[s:e][first]
-                sets = [np.frombuffer(found[s + i], np.uint64) for i in first]
-                n = np.array([len(x) for x in sets], float)
-                both = intersections(sets).astype(float) if n.sum() else np.zeros((len(r), len(r)))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    linked = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
-                np.fill_diagonal(linked, False)
-                counted = linked & (blk[:, None] != blk[None, :]) if cross[s] else linked
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(counted.sum(1).astype(np.int64)), pa.array(r[union(linked)])], names=["rep", "links", "root"])
+        unit: tuple | None = None
+        for table in _groups(batches, "cell"):
+            cell, part, rep, block, cross, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "rep", "block", "cross", "n"))
+            found = _hashes(table.column("found"))
+            for s, e in _spans(cell):
+                r, first = np.unique(rep[s:e], return_index=True)  # ascending; a text that came twice counts once
+                if not part[s]:  # all sets of a unit have a slice 0
+                    if unit:
+                        yield _linked(unit, threshold)
+                    unit = r, block[s:e][first], n[s:e][first].astype(float), np.zeros((len(r), len(r))), cross[s]
+                at = np.searchsorted(unit[0], r)
+                unit[3][np.ix_(at, at)] += intersections([found[s + i] for i in first])
+            del table, found
+        if unit:
+            yield _linked(unit, threshold)
 
     return run
 
@@ -350,17 +388,18 @@ def parted(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Da
 
 
 def exact_links(docs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(rep, links, root) rows, one for each unit a set is in; members: rep, doc_id, key_a, key_b, component, blocks."""
+    """(rep, links, root) rows, one for each unit a set is in; members: rep, doc_id, key_a, key_b, component, blocks, parts."""
     # a merge join at every size: the members grow with the input, so they are never broadcast; texts whose ids none of them has stay out of its shuffle
     some, _ = parted(docs.select(F.col("doc_id").alias("at"), "text"), F.xxhash64("at"), members.select(F.xxhash64("doc_id")))
     texts = some.join(members.hint("merge"), F.col("at").eqNullSafe(F.col("doc_id")))
-    sets = mapped(texts.select("rep", "component", "blocks", "key_a", "key_b", "text"), _keyed_sets(width), "rep long, component long, blocks int, found binary")
+    sets = mapped(texts.select("rep", "component", "blocks", "parts", "key_a", "key_b", "text"), _keyed_sets(width), "rep long, component long, blocks int, part int, n long, found binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     units = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumn("unit", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))).withColumn("cross", F.col("blocks") > 1)
     # with several blocks a block meets itself inside every cross unit; its own pairs are counted in the unit (b, b) alone
     units = units.withColumn("cross", F.col("cross") & (F.col("block") != F.col("other")))
-    dealt = units.select("unit", "rep", "block", "cross", "found").repartition("unit").sortWithinPartitions("unit")
+    units = units.withColumn("cell", F.xxhash64("unit", "part"))
+    dealt = units.select("unit", "part", "cell", "rep", "block", "cross", "n", "found").repartition("unit").sortWithinPartitions("unit", "part")
     return mapped(dealt, _exact(threshold), "rep long, links long, root long")
 
 
@@ -381,10 +420,11 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
     reps = stored(reps)
     lone = reps.select("rep").join(sets.select(F.col("row").alias("rep"), "n", "tops", "sig"), "rep").where("n > 0")
     loose = components(loose_links(stored(lone.select("rep", "tops", "sig")), threshold, recall))
-    size = loose.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     # where a set's own row has a null doc_id, any null row may carry the text: the key decides
-    members = loose.join(size, "root").join(sets.select(F.col("row").alias("node"), "doc_id", *key), "node")
-    members = members.select(F.col("node").alias("rep"), "doc_id", *key, F.col("root").alias("component"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    found = stored(loose.join(sets.select(F.col("row").alias("node"), "doc_id", "n", *key), "node"))
+    size = found.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("shingles"))
+    size = size.withColumn("parts", F.ceil(F.least(F.col("blocks"), F.lit(2)) * F.col("shingles") / F.col("blocks") / SPAN).cast("int"))
+    members = found.join(size, "root").select(F.col("node").alias("rep"), "doc_id", *key, F.col("root").alias("component"), "blocks", "parts")
     exact = stored(exact_links(rows, stored(members), width, threshold))
     links = exact.groupBy("rep").agg(F.sum("links").alias("n_links"))
     joined = components(exact.where("links > 0").select(F.col("rep").alias("a"), F.col("root").alias("b")))

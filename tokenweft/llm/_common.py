@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import json
 import os
@@ -77,8 +78,18 @@ def held(name, make: Callable):
     return _held[name]
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold but do not use back to the system; where the library has no such call, Arrow's alone."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _uncollected(f):
-    """f with the cycle collector off: it makes millions of small objects and no cycles, and is read by reference counts alone."""
+    """f with the cycle collector off: it makes millions of small objects and no cycles, and is read by reference counts alone.
+
+    Workers outlive their tasks, so each gives back at the end what it no longer uses: the next stage has its own needs.
+    """
 
     def run(batches):
         gc.disable()
@@ -86,6 +97,7 @@ def _uncollected(f):
             yield from f(batches)
         finally:
             gc.enable()
+            release()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenweft.llm._common import mapped, stored, text_runs
+from tokenweft.llm._common import mapped, release, stored, text_runs
 from tokenweft.llm.segments import ended, library_encoder
 
 
@@ -184,6 +184,9 @@ def _plan(counts: np.ndarray, capacity: int, small: int, groups: int) -> tuple[l
     return out, sequences
 
 
+#: Weight of a worker's table of segments: two of them stand beside an executor's heap, which earlier stages may have filled.
+TABLE_BYTES = 100_000_000
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slice long, local long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("slice", pa.int64()), ("local", pa.int64())])
 
@@ -192,9 +195,9 @@ def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, seen, part = library_encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = library_encoder(path, TABLE_BYTES), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for batch in text_runs(whole, limit=3_000_000):
+            for batch in text_runs(whole, limit=1_500_000):
                 rows, at = [], 0
                 ids, counts = ended(*encoder.block(batch.column("text")), end_id)
                 data = ids.tobytes()
@@ -206,6 +209,7 @@ def _cut(path: str, end_id: int, capacity: int):
                         seen[length] += 1
                         start, piece = start + length, piece + 1
                     at += n
+                release()  # between blocks a worker holds little more than its table
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECES_ARROW.types, strict=True)], schema=_PIECES_ARROW)
 

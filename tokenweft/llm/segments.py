@@ -230,6 +230,6 @@ class LibraryEncoder(Segments):
         return self.block([text])[0].astype("<u4").tobytes()
 
 
-def library_encoder(path: str) -> LibraryEncoder:
+def library_encoder(path: str, most_bytes: int = 160_000_000) -> LibraryEncoder:
     """One encoder, and so one table, for each worker process and vocabulary file."""
-    return held(("segments", path), lambda: LibraryEncoder(path))
+    return held(("segments", path, most_bytes), lambda: LibraryEncoder(path, most_bytes=most_bytes))
